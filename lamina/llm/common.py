@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[^\x20\x09-\x0D]+"  # a word: a run without ASCII white space
 
@@ -28,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def widened(df: DataFrame, more: dict[str, str]) -> T.StructType:
+    """The schema of ``df`` and further columns."""
+    extra = T.StructType()
+    for name, kind in more.items():
+        extra.add(name, kind)
+    return T.StructType([*df.schema.fields, *extra.fields])
+
+
 # --- hashing of many short strings in one buffer -----------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
