@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "simhash", "pii"]
+MODULES = ["mixing", "packing", "quality", "simhash", "pii"]
 
 
 def queries() -> dict:
