@@ -31,9 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def widened(df: DataFrame, more: dict[str, str]) -> T.StructType:
     """The schema of ``df`` and further columns."""
-    extra = T.StructType()
-    for name, kind in more.items():
-        extra.add(name, kind)
+    extra = T.DataType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in more.items()))
     return T.StructType([*df.schema.fields, *extra.fields])
 
 
