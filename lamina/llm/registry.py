@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "packing", "toxicity", "quality", "secrets", "pii", "simhash"]
+MODULES = ["mixing", "packing", "toxicity", "fingerprint", "quality", "secrets", "pii", "simhash"]
 
 
 def queries() -> dict:
