@@ -98,6 +98,16 @@ def word_hashes(text: bytes) -> np.ndarray:
     return span_hash(prefix_hash(buf), start, end) if len(start) else np.zeros(0, dtype=np.uint64)
 
 
+def joined_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of some texts, and which text it is of; one pass over all of them."""
+    buf = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    start, end = word_spans(buf)
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return span_hash(prefix_hash(buf), start, end), np.searchsorted(ends, start, side="right")
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` words; fewer words give one hash of all of them, none give none."""
     n = len(words)
@@ -157,3 +167,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the links: (node, smallest node)."""
+    if not len(x):
+        return x, y
+    nodes, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+    i, j = where[: len(x)], where[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    keep = label != np.arange(len(nodes))
+    return nodes[keep], nodes[label[keep]]

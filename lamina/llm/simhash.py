@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import components, cut, documents, text_blocks, widened
+from lamina.llm.common import components, cut, documents, forest, text_blocks, widened
 
 BLOCKS = (13, 13, 13, 13, 12)  # bits of each block
 PIVOTS = 16
@@ -103,28 +103,6 @@ def linked_pairs(group: np.ndarray, fp: np.ndarray, radius: int = 3, keep: int =
     return forest(np.concatenate(left), np.concatenate(right))
 
 
-def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links: (node, smallest node)."""
-    if not len(x):
-        return x, y
-    nodes, where = np.unique(np.concatenate([x, y]), return_inverse=True)
-    i, j = where[: len(x)], where[len(x) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    keep = label != np.arange(len(nodes))
-    return nodes[keep], nodes[label[keep]]
-
-
 def candidate_groups(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """(key, i, j, fp): groups in which every two nodes within ``radius`` meet at least once. ``nodes``: distinct fp."""
     shift, at = [], 64
