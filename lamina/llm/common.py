@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -29,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of finished steps now, rather than at the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def widened(df: DataFrame, more: dict[str, str]) -> T.StructType:
     """The schema of ``df`` and further columns."""
     extra = T.DataType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in more.items()))

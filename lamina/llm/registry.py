@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "packing", "embedding", "toxicity", "fingerprint", "quality", "secrets", "pii", "simhash"]
+MODULES = ["mixing", "packing", "embedding", "toxicity", "fingerprint", "quality", "suffix", "secrets", "pii", "simhash"]
 
 
 def queries() -> dict:
