@@ -1,12 +1,62 @@
-"""The corpus pipeline: quality, near duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: quality, near duplicates, personal data, mixing, packing.
+
+``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir), works on all that
+its predecessor kept and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None
+from lamina.llm import mixing, packing, pii, quality, simhash
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that the quality classifier rejects go."""
+    return quality.keep_good(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one document of each group of near copies stays."""
+    return simhash.keep_first(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: personal data become their kind in angle brackets."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents as often as the mix takes them."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the pieces of full windows, with their ids."""
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("personal data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+ORACLE_SQL = None  # trained models, fingerprints and a tokenizer are beyond SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what stages pass on lies in the shared checkpoint folder."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-pipeline-")
+    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

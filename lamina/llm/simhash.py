@@ -17,6 +17,7 @@ doc_id, null doc_ids last. An empty table gives an empty result. Other columns p
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -25,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import components, cut, documents, forest, text_blocks, widened
+from lamina.llm.common import components, cut, documents, forest, mix64, shingle_hashes, text_blocks, widened, word_hashes
 
 BLOCKS = (13, 13, 13, 13, 12)  # bits of each block
 PIVOTS = 16
 PART = 1024  # nodes of a key's part; two parts meet in a group
+WORDS, SHINGLE = 4, 5  # for documents of a given similarity: 64-bit words of a fingerprint, words of a shingle
+BANDS, ROWS = 16, 4
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -69,42 +72,49 @@ def fingerprints(rows: DataFrame, *, text: str = "text", column: str = "sh_fp",
     return rows.mapInArrow(run, widened(rows.drop(text), {column: "long"}))
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """The reference fingerprints: fixed, from a documented seed."""
-    return np.random.default_rng(64).integers(0, 1 << 64, n, dtype=np.uint64)
+def pivots(words: int = 1, n: int = PIVOTS) -> np.ndarray:
+    """The reference fingerprints, of ``words`` times 64 bits: fixed, from a documented seed."""
+    return np.random.default_rng(64).integers(0, 1 << 64, (n, words), dtype=np.uint64)
 
 
-def linked_pairs(group: np.ndarray, fp: np.ndarray, radius: int = 3, keep: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``radius`` bits and in the same group; beyond ``keep`` of them, a spanning forest of them."""
-    table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
+def linked_pairs(group: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of nodes within ``radius`` bits and in the same group.
+
+    ``fp`` has a row of 64-bit words for each node. Rows of a group are ordered by their distance to
+    the first pivot and compared with ever later ones; pairs that are connected already need no
+    more comparison.
+    """
+    table = np.stack([np.bitwise_count(fp ^ p).sum(axis=1) for p in pivots(fp.shape[1])], axis=1).astype(np.int16)
     order = np.lexsort((table[:, 0], group))
-    group, fp, table = group[order], fp[order], table[order]
+    group, node, fp, table = group[order], node[order], fp[order], table[order]
     end = np.searchsorted(group, group, side="right")
-    left, right, held, lag = [], [], 0, 1
-    live = np.arange(len(fp))
+    label = np.arange(len(node))
+    left, right, fresh, lag = [node[:0]], [node[:0]], [], 1
+    live = np.arange(len(node))
     while True:
         live = live[live + lag < end[live]]
         live = live[table[live + lag, 0] - table[live, 0] <= radius]  # sorted by it: later ones are farther
         if not len(live):
             break
-        a = live
+        a = live[label[live] != label[live + lag]]
         for c in range(1, table.shape[1]):
             a = a[np.abs(table[a + lag, c] - table[a, c]) <= radius]
-        a = a[np.bitwise_count(fp[a] ^ fp[a + lag]) <= radius]
-        left.append(fp[a])
-        right.append(fp[a + lag])
-        held += len(a)
-        if held > keep:
-            x, y = forest(np.concatenate(left), np.concatenate(right))
-            left, right, held = [x], [y], 0
+        a = a[np.bitwise_count(fp[a] ^ fp[a + lag]).sum(axis=1) <= radius]
+        left.append(node[a])
+        right.append(node[a + lag])
+        if len(a):
+            fresh.append((a, a + lag))
+        if fresh and (lag & (lag - 1) == 0 or sum(len(x) for x, _ in fresh) > 50_000):
+            x, y = forest(np.concatenate([label[x] for x, _ in fresh]), np.concatenate([label[y] for _, y in fresh]))
+            least = np.arange(len(node))
+            least[x] = y
+            label, fresh = least[label], []
         lag += 1
-    if not left:
-        return fp[:0], fp[:0]
     return forest(np.concatenate(left), np.concatenate(right))
 
 
 def candidate_groups(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """(key, i, j, fp): groups in which every two nodes within ``radius`` meet at least once. ``nodes``: distinct fp."""
+    """Groups in which every two nodes within ``radius`` meet at least once. ``nodes``: distinct fp."""
     shift, at = [], 64
     for bits in BLOCKS:
         at -= bits
@@ -117,35 +127,40 @@ def candidate_groups(nodes: DataFrame, radius: int = 3) -> DataFrame:
             key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(mask).cast("long")))
         keys.append(key)
     rows = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return bounded_groups(rows.select("key", F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp")))
+
+
+def bounded_groups(rows: DataFrame) -> DataFrame:
+    """(key, i, j, node, fp) of rows (key, node, fp): keys of one node go, large ones are cut into parts, every two of which meet."""
     full = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / PART).cast("int")
-    rows = rows.join(full, "key").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("fp"), parts).cast("int")})
+    rows = rows.join(full, "key").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp")
+    return rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "fp")
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links between distinct fingerprints, enough of them to connect what is connected."""
-    groups = candidate_groups(nodes, radius)
-    groups = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(F.xxhash64("key", "i", "j").alias("g"), "fp")
+def links(groups: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b): links between nodes, enough of them to connect what is connected. ``groups``: key, i, j, node, fp (binary)."""
+    groups = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(F.xxhash64("key", "i", "j").alias("g"), "node", "fp")
 
     def run(batches):
-        kept_g, kept_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held = 0
+        kept = None
 
-        def flush(g, f):
-            a, b = linked_pairs(g, f.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def flush(t):
+            fp = np.frombuffer(b"".join(t["fp"].to_pylist()), dtype=">u8").astype(np.uint64).reshape(len(t), -1)
+            a, b = linked_pairs(t["g"].to_numpy(), t["node"].to_numpy(), fp, radius)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            g = np.concatenate([kept_g, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([kept_f, batch.column(1).to_numpy(zero_copy_only=False)])
+            t = pa.Table.from_batches([batch])
+            t = t if kept is None else pa.concat_tables([kept, t]).combine_chunks()
+            g = t["g"].to_numpy()
             held = len(g) - int(np.argmax(g[::-1] != g[-1])) if len(g) and (g != g[-1]).any() else 0
             if held:
-                yield flush(g[:held], f[:held])
-            kept_g, kept_f = g[held:], f[held:]
-        if len(kept_g):
-            yield flush(kept_g, kept_f)
+                yield flush(t.slice(0, held))
+            kept = t.slice(held)
+        if kept is not None and len(kept):
+            yield flush(kept)
 
     return groups.mapInArrow(run, "a long, b long")
 
@@ -153,23 +168,81 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
 def clusters(prints: DataFrame, *, key: str = "doc_id", radius: int = 3) -> DataFrame:
     """``prints`` (key, sh_fp) with component_id, the smallest key reachable through links, and sh_root, its smallest fingerprint."""
     nodes = cut(prints.groupBy(F.col("sh_fp").alias("fp")).agg(F.min(key).alias("least")))
-    found = components(links(nodes.select("fp"), radius))
+    found = components(links(candidate_groups(nodes.select("fp"), radius), radius))
     roots = cut(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     per = roots.select("fp", "root").join(ids, "root").select(F.col("fp").alias("sh_fp"), F.col("root").alias("sh_root"), "component_id")
     return prints.join(per, "sh_fp")
 
 
-def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id", radius: int = 3) -> DataFrame:
-    """One document of each component: the row with the smallest key, ties by its fingerprint and text.
+# --- documents of a given similarity ----------------------------------------------------------------
+
+
+def wide_prints(rows: DataFrame, *, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``rows`` with sh_fp, a fingerprint of ``WORDS`` times 64 bits, and sh_keys in place of the text.
+
+    The keys are least hashes of the shingles, ``ROWS`` at a time: texts that share most shingles
+    share one of the ``BANDS`` keys almost surely, texts that share none have none in common.
+    """
+    at = rows.columns.index(text)
+    turns = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+    spins = np.random.default_rng(6).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
+
+    def one(t: bytes) -> tuple[bytes, np.ndarray]:
+        h = shingle_hashes(word_hashes(t.lower()), shingle)
+        if not len(h):
+            return bytes(8 * WORDS), np.zeros(1, np.int64)
+        ones = np.zeros(64 * WORDS, np.int64)
+        least = np.full(len(turns), np.uint64((1 << 64) - 1))
+        for i in range(0, len(h), 4096):
+            part = h[i : i + 4096]
+            with np.errstate(over="ignore"):
+                bits = mix64(part[:, None] * spins[None, :]).astype(">u8")
+                least = np.minimum(least, (part[:, None] * turns[None, :]).min(axis=0))
+            ones += np.unpackbits(np.frombuffer(bits.tobytes(), np.uint8)).reshape(len(part), -1).sum(axis=0, dtype=np.int32)
+        keys = np.zeros(BANDS, np.uint64)
+        with np.errstate(over="ignore"):
+            for r in range(ROWS):
+                keys = mix64(keys * np.uint64(31) + least[r::ROWS]) + np.arange(BANDS, dtype=np.uint64)
+        return np.packbits(2 * ones > len(h)).tobytes(), keys.view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            fps, keys = [], []
+            for _, block in text_blocks(batch.column(at)):
+                for t in block:
+                    f, k = one(t)
+                    fps.append(f)
+                    keys.append(k)
+            thin = batch.drop_columns([batch.schema.names[at]])
+            new = [pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*thin.columns, *new], names=[*thin.schema.names, "sh_fp", "sh_keys"])
+
+    return rows.mapInArrow(run, widened(rows.drop(text), {"sh_fp": "binary", "sh_keys": "array<long>"}))
+
+
+def radius_of(similarity: float) -> int:
+    """Bits by which fingerprints of texts of that resemblance differ: the mean, and one standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * WORDS
+    return math.ceil(n * share + math.sqrt(n * share * (1 - share)))
+
+
+def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near copies: the smallest key, ties by hashes of key and text.
 
-    The choice is made on narrow rows; the wide rows are read again and joined to what is kept.
+    Near copies resemble each other by ``similarity`` or more in their five-word shingles, as wide
+    fingerprints tell. The choice is made on narrow rows; the wide rows are read again and joined to
+    what is kept. Of repeated rows one stays.
     """
     names = {"sh_a": F.xxhash64(F.col(key), F.col(text)), "sh_b": F.hash(F.col(text))}  # together a row's identity
-    prints = cut(fingerprints(docs.withColumns(names).select(F.col(key).alias("sh_key"), "sh_a", "sh_b", F.col(text).alias("sh_text")), text="sh_text"))
-    chosen = clusters(prints, key="sh_key", radius=radius)
+    rows = docs.withColumns(names).select(F.col(key).alias("sh_key"), "sh_a", "sh_b", F.col(text).alias("sh_text"))
+    prints = cut(wide_prints(rows, text="sh_text").withColumn("node", F.xxhash64("sh_fp")))
+    keyed = prints.select("node", "sh_fp", F.explode("sh_keys").alias("key")).groupBy("key", "node").agg(F.first("sh_fp").alias("fp"))
+    found = components(links(bounded_groups(keyed), radius_of(similarity)))
     first = F.min(F.struct(F.col("sh_key").isNull(), "sh_key", "sh_a", "sh_b")).alias("m")
-    kept = cut(chosen.groupBy("sh_root").agg(first).select("m.sh_a", "m.sh_b"))
+    nodes = prints.groupBy("node").agg(first).join(found, "node", "left")
+    kept = cut(nodes.groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m")).select("m.sh_a", "m.sh_b"))
     rows = docs.withColumns(names).join(kept, ["sh_a", "sh_b"], "left_semi")
     return rows.dropDuplicates(["sh_a", "sh_b"]).select(*docs.columns)
 
