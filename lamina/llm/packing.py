@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import documents, text_blocks, word_hashes
+from lamina.llm.common import documents, joined_word_hashes, text_blocks
 
 WINDOW = 2048
 END = 1
@@ -63,14 +63,18 @@ def encoder(vocabulary: str, ranks: str):
 
     def encode(text: str) -> np.ndarray:
         ids = exact().encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
-        return np.array([*ids, END], dtype=np.uint16)
+        out = np.empty(len(ids) + 1, dtype=np.uint16)
+        out[:-1] = ids
+        out[-1] = END
+        return out
 
     return encode
 
 
-def terms(text: bytes) -> np.ndarray:
-    """Hashed words of a text."""
-    return (word_hashes(text) >> np.uint64(64 - (TERMS - 1).bit_length())).astype(np.int32)
+def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of some texts, and which text each is of."""
+    words, doc = joined_word_hashes(texts)
+    return (words >> np.uint64(64 - (TERMS - 1).bit_length())).astype(np.int64), doc
 
 
 def corpus_statistics(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarray, float]:
@@ -79,12 +83,12 @@ def corpus_statistics(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarra
     def count(batches):
         df, n, words = np.zeros(TERMS, np.int64), 0, 0
         for batch in batches:
-            for _, block in text_blocks(batch.column(0)):
-                for t in block:
-                    w = terms(t)
-                    n += 1
-                    words += len(w)
-                    df[np.unique(w)] += 1
+            for _, block in text_blocks(batch.column(0), 200_000):
+                term, doc = terms(block)
+                n += len(block)
+                words += len(term)
+                pair = np.sort(doc * TERMS + term)
+                df += np.bincount(pair[np.append(True, pair[1:] != pair[:-1])] % TERMS if len(pair) else pair, minlength=TERMS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([df[at], [n, words]]))], names=["term", "n"])
 
@@ -99,21 +103,32 @@ def corpus_statistics(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarra
 class Shard:
     """A BM25 inverted index over some documents and the tails that are still unused."""
 
-    def __init__(self, words: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.n = len(words)
-        length = np.array([len(w) for w in words], dtype=np.float32)
-        doc = np.repeat(np.arange(self.n), length.astype(np.int64))
-        key = np.sort((np.concatenate(words) if words else np.zeros(0, np.int32)).astype(np.int64) * self.n + doc)
+    def __init__(self, texts: list[bytes], idf: np.ndarray, mean: float):
+        self.n = len(texts)
+        bits = max(1, (self.n - 1).bit_length())
+        keys, length, first_doc, block, size = [], np.zeros(self.n, np.float32), 0, [], 0
+        for i, t in enumerate([*texts, None]):  # in blocks that stay in cache
+            if block and (t is None or size + len(t) > 200_000):
+                term, doc = terms(block)
+                doc = doc + first_doc
+                length += np.bincount(doc, minlength=self.n)
+                keys.append((term << bits) | doc)
+                first_doc, block, size = i, [], 0
+            if t is not None:
+                block.append(t)
+                size += len(t)
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         tf = np.diff(np.append(first, len(key))).astype(np.float32)
-        self.doc = key[first] % max(self.n, 1)
-        term = key[first] // max(self.n, 1)
+        self.doc = key[first] & ((1 << bits) - 1)
+        term = key[first] >> bits
         self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1.0)))
-        # the strongest terms of each document are its query
-        order = np.lexsort((-self.impact, self.doc))
-        start = np.searchsorted(self.doc[order], np.arange(self.n + 1))
+        # the strongest terms of each document are its query: sorted by document, then falling impact
+        order = np.argsort((self.doc << 32) | (0x7FFFFFFF - self.impact.astype(np.float32).view(np.int32).astype(np.int64)))
+        start = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
         self.query = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(start[:-1], start[1:])]
-        self.term, self.at = np.unique(term, return_index=True)
+        self.at = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else term
+        self.term = term[self.at]
         self.at = np.append(self.at, len(term))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
@@ -194,13 +209,13 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: in
         encode = encoder(vocabulary, ranks)
         idf, mean = shared.value
         sequence = TaskContext.get().partitionId() << 32
-        held_key, held_ids, held_words, size = [], [], [], 0
+        held_key, held_ids, held_text, size = [], [], [], 0
 
         def flush():
             nonlocal sequence
             lengths = np.array([len(i) for i in held_ids], dtype=np.int64)
             rows = []
-            for run in pack_shard(lengths, Shard(held_words, idf, mean), window):
+            for run in pack_shard(lengths, Shard(held_text, idf, mean), window):
                 offset = 0
                 for d, s, n in run:
                     ids = held_ids[d][s : s + n]
@@ -218,11 +233,11 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: in
                 t = t.as_py() or ""
                 held_key.append(k.as_py())
                 held_ids.append(encode(t))
-                held_words.append(terms(t.encode()))
+                held_text.append(t.encode())
                 size += len(held_ids[-1])
                 if len(held_key) >= SHARD_DOCS or size >= SHARD_TOKENS:
                     yield from flush()
-                    held_key, held_ids, held_words, size = [], [], [], 0
+                    held_key, held_ids, held_text, size = [], [], [], 0
         if held_key:
             yield from flush()
 
