@@ -39,9 +39,8 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders
     return raw.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 
 
