@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import cut, documents, prefix_hash, release, span_hash, text_blocks
+from lamina.llm.common import Scratch, cut, documents, prefix_hash, release, span_hash, text_blocks
 
 LENGTH = 100
 GRAM = 24
 BLOCK = 250_000  # bytes of texts hashed at once
 CHUNK = 1 << 23  # windows of one text hashed at once
-SHARD = 4_000_000  # bytes of a suffix array
+SHARD = 1_000_000  # bytes of a suffix array, beyond which the next shard starts another
 VARIANTS = 2000  # occurrences of an anchor in one shard
 LAST = (1 << 63) - 1
 
@@ -89,20 +89,33 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return owner, h[anchor[first]], context, first - start, last - start
 
 
-def occurrences(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """A row for each document: k, t (a hash of the text) and lists of its runs."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+def numbered(docs: DataFrame, *, key: str, text: str) -> DataFrame:
+    """(u, key, text): each document with a number that grows in the order of ids, its id where ids are distinct.
+
+    Otherwise distinct (id, text) pairs are ranked by a range sort and joined to the documents.
+    """
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.col(key).alias("key"), F.col(text).alias("text"))
+    many = rows.groupBy("k").count().where("count > 1").limit(1).count()
+    if not many:
+        return rows.select(F.col("k").alias("u"), "key", "text")
+    rows = rows.withColumn("t", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    pairs = rows.select("k", "t").distinct()
+    ranks = cut(pairs.repartitionByRange("k", "t").sortWithinPartitions("k", "t").withColumn("u", F.monotonically_increasing_id()))
+    return rows.join(ranks, ["k", "t"]).select("u", "key", "text")
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(u, h, c, lo, more): lists of the runs of each document; a run has windows lo to lo + more."""
 
     def run(batches):
         for batch in batches:
-            for first, block in text_blocks(batch.column(2), BLOCK):
+            for first, block in text_blocks(batch.column(1), BLOCK):
                 doc, h, c, lo, hi = anchors(block)
                 offsets = np.searchsorted(doc, np.arange(len(block) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h.view(np.int64), c.view(np.int64), lo.astype(np.int32), hi.astype(np.int32))]
-                own = [batch.column(i).slice(first, len(block)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, *lists], names=["k", "t", "h", "c", "lo", "hi"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h.view(np.int64), c.view(np.int64), lo.astype(np.int32), (hi - lo).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), *lists], names=["u", "h", "c", "lo", "more"])
 
-    return rows.mapInArrow(run, "k long, t long, h array<long>, c array<long>, lo array<int>, hi array<int>")
+    return rows.select("u", "text").mapInArrow(run, "u long, h array<long>, c array<long>, lo array<int>, more array<int>")
 
 
 # --- suffix arrays of a shard ---------------------------------------------------------------------
@@ -119,7 +132,7 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
     key = np.lib.stride_tricks.as_strided(padded, shape=(n, 8), strides=(1, 1)).copy().view(">u8").ravel().astype(np.uint64)
     # seven bytes and, for the last suffixes, how many there are: the end comes before any byte
     key = (key & ~np.uint64(0xFF)) | np.minimum(n - np.arange(n), 7).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     lead = np.append(True, sorted_key[1:] != sorted_key[:-1])
     rank = np.empty(n, np.int64)
@@ -133,7 +146,7 @@ def suffix_array(buf: np.ndarray) -> np.ndarray:
         at = order[open_]
         follows = np.where(at + known < n, rank[np.minimum(at + known, n - 1)] + 1, 0)
         pair = (rank[at] << 32) | follows
-        turn = np.argsort(pair, kind="stable")
+        turn = np.argsort(pair)
         order[open_] = at[turn]
         pair = pair[turn]
         lead[open_] = np.append(True, pair[1:] != pair[:-1])
@@ -174,7 +187,7 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int, starts: np.nd
         now[lane] += 1
 
 
-def repeats(contexts: list[bytes], k: np.ndarray, u: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeats(contexts: list[bytes], u: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of some contexts: (context, offset, whether it is the first of its kind, class)."""
     sizes = np.array([len(c) for c in contexts])
     buf = np.frombuffer(b"".join(contexts), dtype=np.uint8)
@@ -188,60 +201,66 @@ def repeats(contexts: list[bytes], k: np.ndarray, u: np.ndarray, lo: np.ndarray)
     own = _class_of_windows(buf, at, lcp[window], window)
     doc = owner[at]
     off = at - start[doc]
-    turn = np.lexsort((lo[doc] + off, u[doc], k[doc], own))
-    first = np.empty(len(at), bool)
-    s = own[turn]
-    first[turn] = np.append(True, s[1:] != s[:-1])
-    return doc, off, first, own
+    # runs of one document don't overlap, so contexts in order of place put their windows in order too
+    place = np.empty(len(contexts), np.int64)
+    place[np.lexsort((lo, u))] = np.arange(len(contexts))
+    age = (place[doc] << 32) | off
+    if not len(at):
+        return doc, off, np.zeros(0, bool), own
+    oldest = np.minimum.reduceat(age, np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+    return doc, off, age == np.repeat(oldest, np.diff(np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)))), own
 
 
 def _class_of_windows(buf: np.ndarray, at: np.ndarray, lcp: np.ndarray, window: np.ndarray) -> np.ndarray:
     """Classes of windows in suffix order: a window belongs with the one before it if both share LENGTH bytes.
 
-    Where nothing stands between the two, the common prefix says so; otherwise the bytes are compared.
+    Where nothing stands between the two, the common prefix says so; otherwise their bytes are compared, eight at a time.
     """
     place = np.flatnonzero(window)
     near = np.append(False, np.diff(place) == 1)
     same = near & (lcp >= LENGTH)
     asked = np.flatnonzero(~near)
     asked = asked[asked > 0]
-    for i in range(0, len(asked), 100_000):
-        a = asked[i : i + 100_000]
-        reach = np.arange(LENGTH)
-        same[a] = (buf[at[a][:, None] + reach] == buf[at[a - 1][:, None] + reach]).all(axis=1)
+    words = np.lib.stride_tricks.as_strided(buf, shape=(len(buf) - 7, 8), strides=(1, 1)).copy().view("<u8").ravel()
+    for offset in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        asked = asked[words[at[asked] + offset] == words[at[asked - 1] + offset]]
+    same[asked] = True
     return np.cumsum(~same)
 
 
 def shard_repeats(edges: DataFrame) -> DataFrame:
-    """(k, u, lo, hi, gram): repeated windows [lo, hi] of the edges, sorted by shard; windows of split anchors that came first have their bytes in ``gram``."""
+    """(u, lo, hi, gram): repeated windows [lo, hi] of the edges, sorted by shard; windows of split anchors that came first have their bytes in ``gram``."""
 
     def solve(rows):
-        shard, k, u, lo, split, ctx = rows
-        doc, off, first, own = repeats(ctx, k, u, lo)
-        turn = np.lexsort((off, doc))
+        _, u, lo, split, ctx = rows
+        doc, off, first, _ = repeats(ctx, u, lo)
+        turn = np.argsort((doc << 32) | off)
         doc, off, first = doc[turn], off[turn], first[turn]
         again = ~first
         runs = np.flatnonzero(again & ~np.append(False, again[:-1] & (doc[1:] == doc[:-1]) & (off[1:] == off[:-1] + 1)))
         stops = np.flatnonzero(again & ~np.append(again[1:] & (doc[1:] == doc[:-1]) & (off[1:] == off[:-1] + 1), False))
         d = doc[runs]
-        yield k[d], u[d], lo[d] + off[runs], lo[d] + off[stops], [None] * len(d)
+        yield u[d], lo[d] + off[runs], lo[d] + off[stops], [None] * len(d)
         lone = np.flatnonzero(first & split[doc])
         for i in range(0, len(lone), 20_000):
             a = lone[i : i + 20_000]
             d = doc[a]
-            yield k[d], u[d], lo[d] + off[a], lo[d] + off[a], [ctx[x][o : o + LENGTH] for x, o in zip(d, off[a])]
+            yield u[d], lo[d] + off[a], lo[d] + off[a], [ctx[x][o : o + LENGTH] for x, o in zip(d, off[a])]
 
     def out(rows):
-        for k, u, lo, hi, gram in solve(rows):
-            if len(k):
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(u), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram, pa.binary())], names=["k", "u", "lo", "hi", "gram"])
+        for u, lo, hi, gram in solve(rows):
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram, pa.binary())], names=["u", "lo", "hi", "gram"])
 
     def run(batches):
         held, size = [], 0  # whole shards, several to a suffix array
 
         def rows_of(tables):
             t = pa.concat_tables(tables).combine_chunks()
-            return [t["shard"].to_numpy(), t["k"].to_numpy(), t["u"].to_numpy(), t["lo"].to_numpy().astype(np.int64), t["split"].to_numpy(), t["ctx"].to_pylist()]
+            at = [t[c].to_numpy() for c in ("shard", "u", "lo")]
+            again = np.append(False, np.logical_and.reduce([x[1:] == x[:-1] for x in at]))  # repeated rows
+            t = t.filter(pa.array(~again)).combine_chunks() if again.any() else t
+            return [t["shard"].to_numpy(), t["u"].to_numpy(), t["lo"].to_numpy().astype(np.int64), t["split"].to_numpy(), t["ctx"].to_pylist()]
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -260,71 +279,63 @@ def shard_repeats(edges: DataFrame) -> DataFrame:
         if held:
             yield from out(rows_of(held))
 
-    return edges.mapInArrow(run, "k long, u long, lo int, hi int, gram binary")
+    return edges.mapInArrow(run, "u long, lo int, hi int, gram binary")
 
 
 # --- the whole -------------------------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, t, spans): for each document that loses bytes, runs [lo, hi] of repeated windows."""
-    spark = docs.sparkSession
-    found = cut(occurrences(docs, key=key, text=text)).withColumn("u", F.monotonically_increasing_id())
-    who = found.groupBy("k", "t").agg(F.min("u").alias("u"), F.count("*").alias("n"))
-    who = cut(who)
-    if who.where("n > 1").limit(1).count():
-        found = found.join(who.select("u"), "u", "left_semi")
-    runs = found.select("k", "u", F.explode(F.arrays_zip("h", "c", "lo", "hi")).alias("r")).select("k", "u", "r.h", "r.c", "r.lo", "r.hi")
-
-    counted = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    counted = cut(counted.where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("many")))
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """(u, spans): for each document of ``rows`` (u, text) that loses bytes, runs [lo, hi] of repeated windows."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
+    runs = scratch.keep(occurrences(rows), "runs").select("u", F.explode(F.arrays_zip("h", "c", "lo", "more")).alias("r")).select("u", "r.*")
+    counted = scratch.keep(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "counted")
     release(spark)
-    hits = cut(runs.join(counted.hint("shuffle_hash"), "h"))
+    hits = scratch.keep(runs.join(counted.hint("shuffle_hash"), "h"), "hits")
+    scratch.drop("runs")
     release(spark)
-    firsts = hits.groupBy("h", "c").agg(F.min(F.struct("k", "u", "lo", "hi")).alias("f"), F.first("many").alias("many"), F.count("*").alias("n"))
-    firsts = cut(firsts.select("h", "c", "f.*", "many", "n"))
-    copied = hits.join(firsts.where("n > 1").select("h", "c", F.col("u").alias("fu"), F.col("lo").alias("flo")).hint("shuffle_hash"), ["h", "c"]).where("u <> fu or lo <> flo").select("u", "lo", "hi")
-    copied = cut(copied)
+    firsts = hits.groupBy("h", "c").agg(F.min(F.struct("u", "lo", "more")).alias("f"), F.count("*").alias("n"))
+    firsts = scratch.keep(firsts.select("h", "c", "f.*", "n"), "firsts")
+    copied = hits.join(firsts.where("n > 1").select("h", "c", F.col("u").alias("fu"), F.col("lo").alias("flo")).hint("shuffle_hash"), ["h", "c"])
+    copied = scratch.keep(copied.where("u <> fu or lo <> flo").select("u", "lo", (F.col("lo") + F.col("more")).alias("hi")), "copied")
+    scratch.drop("hits")
     release(spark)
 
     # the edges: first occurrences of anchors with several surroundings
-    edge = firsts.where("many")
-    spread = edge.groupBy("h").agg(F.count("*").alias("variants"))
+    spread = firsts.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1")
     parts = F.ceil(F.col("variants") / VARIANTS).cast("int")
-    edge = edge.join(spread, "h").select("u", "lo", "hi", F.xxhash64("h", F.pmod(F.xxhash64("c"), parts)).alias("shard"), (parts > 1).alias("split"))
-    wanted = edge.groupBy("u").agg(F.collect_list(F.struct("lo", "hi", "shard", "split")).alias("e")).join(who.select("k", "t", "u"), "u")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    texts = rows.join(wanted.hint("shuffle_hash"), ["k", "t"]).select("k", "u", "text", "e")
+    edge = firsts.join(spread, "h").select("u", "lo", "more", F.xxhash64("h", F.pmod(F.xxhash64("c"), parts)).alias("shard"), (parts > 1).alias("split"))
+    wanted = scratch.keep(edge.groupBy("u").agg(F.collect_list(F.struct("lo", "more", "shard", "split")).alias("e")), "wanted")
+    release(spark)
+    texts = rows.select("u", "text").join(wanted.hint("shuffle_hash"), "u")
 
     def contexts(batches):
+        names = ["shard", "u", "lo", "split", "ctx"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in batches:
-            out = [[] for _ in range(6)]
-            size = 0
-            for k, u, t, e in zip(*(batch.column(i) for i in range(4))):
+            out, size = [[] for _ in names], 0
+            for u, t, e in zip(*(batch.column(i) for i in range(3))):
                 raw = t.as_buffer().to_pybytes()
                 for x in e.as_py():
-                    for o, v in zip(out, (x["shard"], k.as_py(), u.as_py(), x["lo"], x["split"], raw[x["lo"] : x["hi"] + LENGTH])):
+                    for o, v in zip(out, (x["shard"], u.as_py(), x["lo"], x["split"], raw[x["lo"] : x["lo"] + x["more"] + LENGTH])):
                         o.append(v)
-                    size += x["hi"] - x["lo"] + LENGTH
+                    size += x["more"] + LENGTH
                 if size > 4_000_000:
-                    yield context_batch(out)
-                    out, size = [[] for _ in range(6)], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, types)], names=names)
+                    out, size = [[] for _ in names], 0
             if out[0]:
-                yield context_batch(out)
-
-    def context_batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.binary())], names=["shard", "k", "u", "lo", "split", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, types)], names=names)
 
-    gathered = texts.mapInArrow(contexts, "shard long, k long, u long, lo int, split boolean, ctx binary").dropDuplicates(["shard", "k", "u", "lo"])
-    solved = cut(shard_repeats(gathered.repartition("shard").sortWithinPartitions("shard")))
+    gathered = texts.mapInArrow(contexts, "shard long, u long, lo int, split boolean, ctx binary")
+    solved = scratch.keep(shard_repeats(gathered.repartition("shard").sortWithinPartitions("shard", "u", "lo")), "solved")
     release(spark)
     inside = solved.where("gram is null").select("u", "lo", "hi")
     grams = solved.where("gram is not null")
-    lead = grams.groupBy("gram").agg(F.min(F.struct("k", "u", "lo")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    lead = grams.groupBy("gram").agg(F.min(F.struct("u", "lo")).alias("f"), F.count("*").alias("n")).where("n > 1")
     across = grams.join(lead, "gram").where("u <> f.u or lo <> f.lo").select("u", "lo", "hi")
     spans = copied.unionByName(inside).unionByName(across)
-    spans = spans.groupBy("u").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return spans.join(who.select("k", "t", "u"), "u").select("k", "t", "spans")
+    return scratch.keep(spans.groupBy("u").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
 def removed_bytes(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -340,10 +351,10 @@ def removed_bytes(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def strip_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sx_kept, n_bytes, n_removed, n_spans): what is left of each text, as bytes."""
-    spans = cut(repeated_spans(docs, key=key, text=text))
+    rows = numbered(docs, key=key, text=text)
+    spans = repeated_spans(rows)
     release(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text).alias("t"))
-    rows = rows.join(spans.hint("shuffle_hash"), ["k", "t"], "left").select("key", "text", "spans")
+    rows = rows.join(spans.hint("shuffle_hash"), "u", "left").select("key", "text", "spans")
 
     def run(batches):
         for batch in batches:
