@@ -35,7 +35,7 @@ STEMS = (4, 5, 6)
 LEXICON = 4000
 WINDOW = 24
 _WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
-_ODD = re.compile(r"[^\W\d_][@$0134578!*][^\W\d_]|(?<!\S)[@$0134578][^\W\d_]{3}", re.UNICODE)
+_ODD = re.compile(r"[^\W\d_][@$0134578!*]{1,3}[^\W\d_]|(?<!\S)[@$0134578][^\W\d_]{3}", re.UNICODE)
 _SPLIT = re.compile(r"(?:[^\W\d_][.\-*_]){3,}[^\W\d_]", re.UNICODE)
 _PLAIN = str.maketrans("@$0134578!", "asoieastbi")
 SECOND = frozenset("you your yours you're u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted vosotros".split())
@@ -104,7 +104,7 @@ def features(text: str, lexicon: dict[str, float], memo: dict[str, float]) -> li
         if m.start() < done:
             continue
         a = max(low.rfind(c, max(0, m.start() - 40), m.start()) for c in " \n\t") + 1
-        s = re.split(r"\s", low[max(a, m.start() - 40) : m.end() + 40])[0].strip(".,;:?\"'()")
+        s = re.split(r"\s", low[max(a, m.start() - 40) : m.end() + 40])[0].strip(".,;:?!\"'()")
         done = m.start() + len(s)
         p = s.translate(_PLAIN)
         odd += p in lexicon or any(p[:k] + "*" in lexicon for k in STEMS if len(p) >= k)
