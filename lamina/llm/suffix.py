@@ -41,7 +41,7 @@ GRAM = 24
 BLOCK = 250_000  # bytes of texts hashed at once
 CHUNK = 1 << 23  # windows of one text hashed at once
 SHARD = 1_000_000  # bytes of a suffix array, beyond which the next shard starts another
-VARIANTS = 2000  # occurrences of an anchor in one shard
+VARIANTS = 500  # occurrences of an anchor in one shard
 LAST = (1 << 63) - 1
 
 
