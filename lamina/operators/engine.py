@@ -9,6 +9,7 @@ snapshot is a number that compares with both.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass, field
 from typing import Any
@@ -22,7 +23,9 @@ from lamina.functions import predicate
 from lamina.functions.visibility import committed, small
 from lamina.sources.files import Store
 
+TRACKED_KEYS = 10_000  # beyond so many keys a transaction counts as using the whole table
 LOG_SCHEMA = "txn_id long, status string, commit_seq long"
+_SCAN_CALL = re.compile(r"\bversioned_scan\(\s*'(?P<table>\w+)'\s*(?:,\s*'(?P<where>(?:[^']|'')*)'\s*)?\)", re.IGNORECASE)
 CHANGE_SCHEMA = "txn_id long, stmt int, pk string, col string, op string, before_v string, after_v string"
 
 
@@ -45,15 +48,26 @@ class Transaction:
         self.writes |= {(table, str(k)) for k in keys}
 
 
+def _meet(a: set[tuple[str, str]], b: set[tuple[str, str]]) -> tuple[str, str] | None:
+    """A key in both sets; ``*`` stands for every key of its table."""
+    if hit := a & b:
+        return min(hit)
+    for x, y in ((a, b), (b, a)):
+        whole = {t for t, k in x if k == "*"}
+        if hit := [p for p in y if p[0] in whole]:
+            return min(hit)
+    return None
+
+
 def conflicts(txn: Transaction, others: list[Transaction]) -> str | None:
     """Why a transaction can't commit beside others that are active: it read what they write, or wrote what they read or write."""
     for o in others:
         if o is txn or o.status != "active":
             continue
-        if hit := txn.reads & o.writes:
-            return f"read {sorted(hit)[0]} that transaction {o.txn_id} writes"
-        if hit := txn.writes & (o.reads | o.writes):
-            return f"wrote {sorted(hit)[0]} that transaction {o.txn_id} uses"
+        if hit := _meet(txn.reads, o.writes):
+            return f"read {hit} that transaction {o.txn_id} writes"
+        if hit := _meet(txn.writes, o.reads | o.writes):
+            return f"wrote {hit} that transaction {o.txn_id} uses"
     return None
 
 
@@ -76,7 +90,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
         self.active: dict[int, Transaction] = {}
-        done = [self.store.read_json(f"_txn/{n}") for n in self.store.names("_txn") if n.endswith(".json")]
+        names = [n for n in self.store.names("_txn") if n.endswith(".json")]
+        done = [d for n in names for d in (self.store.read_json(f"_txn/{n}").get("log") or [self.store.read_json(f"_txn/{n}")])]
         self.finished: dict[int, tuple[str, int | None]] = {d["txn_id"]: (d["status"], d["commit_seq"]) for d in done}
         self.counter = max([0, *self.finished, *(s or 0 for _, s in self.finished.values())])
 
@@ -116,6 +131,24 @@ class Engine:
     def snapshot(self) -> int:
         return self.counter
 
+    def checkpoint(self, keep: int = 100_000) -> int:
+        """Fold the log's files into one; returns how many transactions it holds.
+
+        Beyond ``keep`` finished transactions the oldest go until four fifths are left, except those
+        whose files a table still has: without its entry a version would vanish.
+        """
+        if len(self.finished) > keep:
+            used = {f["txn_id"] for n in self.tables() for f in self.table(n).manifest["files"]}
+            idle = [i for i in sorted(self.finished) if i not in used]
+            for i in idle[: len(self.finished) - keep * 4 // 5]:
+                del self.finished[i]
+        old = [n for n in self.store.names("_txn") if n.endswith(".json")]
+        log = [{"txn_id": i, "status": s, "commit_seq": c} for i, (s, c) in sorted(self.finished.items())]
+        self.store.write_json(f"_txn/log-{uuid.uuid4().hex}.json", {"log": log})
+        for n in old:
+            self.store.remove(f"_txn/{n}")
+        return len(log)
+
     def log(self) -> DataFrame:
         rows = [(i, s, c) for i, (s, c) in self.finished.items()] + [(i, "active", None) for i in self.active]
         return self.spark.createDataFrame(rows, LOG_SCHEMA)
@@ -138,10 +171,20 @@ class Engine:
         return [n for n in self.store.names("") if n != "_txn" and self.store.names(f"{n}/manifest")]
 
     def sql(self, text: str) -> DataFrame:
-        """Spark SQL over the tables; ``AS OF TxnId n`` reads all of them at that snapshot."""
+        """Spark SQL over the tables; ``AS OF TxnId n`` reads all of them at that snapshot.
+
+        ``versioned_scan('table', 'filter')`` in the FROM clause reads a table through the filter language.
+        """
         from lamina.operators.timetravel import parse_as_of
 
         query, at = parse_as_of(text)
+
+        def view(m: re.Match) -> str:
+            name = f"versioned_scan_{uuid.uuid4().hex}"
+            self.table(m["table"]).scan(m["where"].replace("''", "'") if m["where"] else None, as_of=at).createOrReplaceTempView(name)
+            return name
+
+        query = _SCAN_CALL.sub(view, query)
         for name in self.tables():
             self.table(name).scan(as_of=at).createOrReplaceTempView(name)
         return self.spark.sql(query)
@@ -176,7 +219,8 @@ class Table:
     def _write(self, df: DataFrame, kind: str, txn: int) -> dict:
         """A file group with the statistics that pruning needs, gathered from the files just written."""
         path = f"{kind}/txn={txn:012d}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.engine.store.root}/{self.name}/{path}")
+        bloom = {f"parquet.bloom.filter.enabled#{self.key}": "true"} if kind == "base" else {}  # for reads by key
+        df.write.options(**bloom).parquet(f"{self.engine.store.root}/{self.name}/{path}")
         back = self.spark.read.parquet(f"{self.engine.store.root}/{self.name}/{path}")
         plain = [f.name for f in back.schema if isinstance(f.dataType, (T.NumericType, T.StringType))] if kind == "base" else []
         row = back.agg(F.count("*"), *[g(c) for c in plain for g in (F.min, F.max)]).first()
@@ -188,13 +232,13 @@ class Table:
     def _files(self, kind: str, keep=lambda f: True) -> list[str]:
         return [f"{self.engine.store.root}/{self.name}/{f['path']}" for f in self.manifest["files"] if f["kind"] == kind and keep(f)]
 
-    def versions(self, as_of: int | None = None, where: str | None = None) -> DataFrame:
+    def versions(self, as_of: int | None = None, where: str | None = None, only: set[str] | None = None) -> DataFrame:
         """Visible row versions with created_txn and stmt. Files whose statistics rule the filter out aren't read."""
         at = self.engine.snapshot() if as_of is None else as_of
         if at < self.manifest["horizon"]:
             raise HistoryUnavailableError(f"{self.name} keeps no history before {self.manifest['horizon']}")
         prune = predicate.pruning(predicate.parse(where)) if where else predicate.Pruning()
-        base = self._files("base", lambda f: f["txn_id"] <= at and prune.may_hold({k: tuple(v) for k, v in f["stats"].items()}))
+        base = self._files("base", lambda f: f["txn_id"] <= at and (only is None or f["path"] in only) and prune.may_hold({k: tuple(v) for k, v in f["stats"].items()}))
         schema = T.StructType([*self.schema.fields, T.StructField("created_txn", T.LongType()), T.StructField("stmt", T.IntegerType())])
         if not base:
             return self.spark.createDataFrame([], schema)
@@ -214,6 +258,12 @@ class Table:
     def scan(self, where: str | None = None, *, as_of: int | None = None, columns: list[str] | None = None) -> DataFrame:
         return self.versions(as_of, where).select(*(columns or self.schema.names))
 
+    def scan_bounded(self, segments: int, where: str | None = None) -> tuple[DataFrame, list[str]]:
+        """A scan of at most so many base files, and the files it leaves out; nothing is left out unsaid."""
+        base = [f["path"] for f in self.manifest["files"] if f["kind"] == "base"]
+        keep, skipped = set(base[:segments]), base[segments:]
+        return self.versions(None, where, keep).select(*self.schema.names), skipped
+
     def batches(self, where: str | None = None, *, as_of: int | None = None):
         """Rows one by one, fetched partition by partition."""
         return self.scan(where, as_of=as_of).toLocalIterator()
@@ -268,25 +318,28 @@ class Table:
         txn.statements += 1
         old = self.scan(where, as_of=txn.begin_seq)
         new = old.withColumns({c: (v if isinstance(v, Column) else F.lit(v)).cast(self.schema[c].dataType) for c, v in values.items()})
-        keys = [r[0] for r in old.select(self.key).toLocalIterator()]
-        if not keys:
-            raise KeyNotFoundError(where)
-        txn.record_write(self.name, *keys)
+        n = self._lock(old, where, txn)
         self._stage(txn, self._tombstones(old, txn), "tombstone")
         self._stage(txn, new.withColumns({"created_txn": F.lit(txn.txn_id).cast("long"), "stmt": F.lit(txn.statements)}), "base")
         self._stage(txn, self._changes(txn, old, new, list(values)), "change")
-        return len(keys)
+        return n
 
     def delete(self, where: str, txn: Transaction) -> int:
         txn.statements += 1
         old = self.scan(where, as_of=txn.begin_seq)
-        keys = [r[0] for r in old.select(self.key).toLocalIterator()]
-        if not keys:
-            raise KeyNotFoundError(where)
-        txn.record_write(self.name, *keys)
+        n = self._lock(old, where, txn)
         self._stage(txn, self._tombstones(old, txn), "tombstone")
         self._stage(txn, self._changes(txn, old, None, self.schema.names), "change")
-        return len(keys)
+        return n
+
+    def _lock(self, rows: DataFrame, where: str, txn: Transaction) -> int:
+        """Track the keys that a statement writes, up to a bound; returns how many rows there are."""
+        n = rows.count()
+        if not n:
+            raise KeyNotFoundError(where)
+        few = n <= TRACKED_KEYS
+        txn.record_write(self.name, *([r[0] for r in rows.select(self.key).collect()] if few else ["*"]))
+        return n
 
     def _tombstones(self, rows: DataFrame, txn: Transaction) -> DataFrame:
         # the statement's own versions carry its number and so come after what it removes

@@ -160,3 +160,49 @@ def test_files_are_pruned(spark, engine):
     engine.commit(x)
     assert len(t.scan("id > 500").inputFiles()) < len(t.scan().inputFiles())
     assert t.scan("id > 500").count() == 1
+
+
+def test_scan_call_and_bounded_scan(spark, engine):
+    t = engine.table("t")
+    x = engine.begin()
+    t.insert(spark.createDataFrame([(50, "it's", 1.0)], "id long, name string, v double"), x)
+    engine.commit(x)
+    assert engine.sql("SELECT count(*) FROM versioned_scan('t', 'id >= 5 AND id < 50')").first()[0] == 5
+    assert engine.sql("SELECT id FROM versioned_scan('t', 'name = \"it''s\"')").first()[0] == 50
+    rows, skipped = t.scan_bounded(1)
+    assert rows.count() == 10 and len(skipped) == 1
+
+
+def test_log_checkpoint(spark, engine):
+    t = engine.table("t")
+    for i in range(6):
+        x = engine.begin()
+        t.insert(spark.createDataFrame([(100 + i,)], "id long"), x)
+        engine.commit(x)
+    for _ in range(4):
+        engine.rollback(engine.begin())
+    assert engine.checkpoint() == 11
+    again = Engine(spark, engine.store.root)
+    assert again.finished == engine.finished and again.table("t").count() == 16
+    t.compact()
+    assert engine.checkpoint(keep=4) == 7  # what files refer to stays
+    again = Engine(spark, engine.store.root)
+    assert again.table("t").count() == 16 and again.table("t").changes().select("txn_id").distinct().count() == 7
+
+
+def test_large_statements_lock_the_table(engine, monkeypatch):
+    from lamina.operators import engine as module
+
+    monkeypatch.setattr(module, "TRACKED_KEYS", 3)
+    a, b = engine.begin(), engine.begin()
+    engine.table("t").delete("id < 5", a)
+    b.record_write("t", 9)
+    with pytest.raises(ConflictError):
+        engine.commit(a)
+
+
+def test_command_line(engine, capsys):
+    from lamina.__main__ import main
+
+    assert main(["info", engine.store.root]) == 0 and "10 row versions" in capsys.readouterr().out
+    assert main([]) == 2
