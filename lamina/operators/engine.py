@@ -90,10 +90,10 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
         self.active: dict[int, Transaction] = {}
-        names = [n for n in self.store.names("_txn") if n.endswith(".json")]
-        done = [d for n in names for d in (self.store.read_json(f"_txn/{n}").get("log") or [self.store.read_json(f"_txn/{n}")])]
+        found = [self.store.read_json(f"_txn/{n}") for n in self.store.names("_txn") if n.endswith(".json")]
+        done = [d for f in found for d in f.get("log", [f])]
         self.finished: dict[int, tuple[str, int | None]] = {d["txn_id"]: (d["status"], d["commit_seq"]) for d in done}
-        self.counter = max([0, *self.finished, *(s or 0 for _, s in self.finished.values())])
+        self.counter = max([0, *(f.get("counter", 0) for f in found), *self.finished, *(s or 0 for _, s in self.finished.values())])
 
     # transactions
 
@@ -144,7 +144,7 @@ class Engine:
                 del self.finished[i]
         old = [n for n in self.store.names("_txn") if n.endswith(".json")]
         log = [{"txn_id": i, "status": s, "commit_seq": c} for i, (s, c) in sorted(self.finished.items())]
-        self.store.write_json(f"_txn/log-{uuid.uuid4().hex}.json", {"log": log})
+        self.store.write_json(f"_txn/log-{uuid.uuid4().hex}.json", {"log": log, "counter": self.counter})
         for n in old:
             self.store.remove(f"_txn/{n}")
         return len(log)
