@@ -15,6 +15,7 @@ result. Repeated rows are judged alike. Columns with clashing names are kept as
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int
     posterior, rates, _ = estimate(counts)
     total = sum(counts.values())
     share = min(1.0, sample / max(total, 1))
-    chosen = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("quality")), F.lit(1_000_000)) < round(share * 1_000_000)
+    chosen = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("quality")), F.lit(10**15)) < math.ceil(share * 10**15)
 
     def example(batches):
         for batch in batches:
