@@ -98,7 +98,7 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Da
     sent = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), place.alias("place"))
     sent = sent.withColumn("to", F.explode(F.pandas_udf(targets, "array<int>")("place")))
     sent = sent.select(F.shiftright("to", 1).alias("fp_range"), (F.col("to") % 2).alias("fp_guest"), "place", "key", "text")
-    return sent.repartition(ranges, "fp_range").sortWithinPartitions("fp_range", "fp_guest", F.col("place").desc(), "text").drop("place")
+    return sent.repartitionById(ranges, "fp_range").sortWithinPartitions("fp_range", "fp_guest", F.col("place").desc(), "text").drop("place")
 
 
 def fingerprint_with_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
