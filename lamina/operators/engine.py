@@ -14,7 +14,7 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,15 +217,16 @@ class Table:
             raise ConflictError(f"{self.name} was changed by another writer")
 
     def _write(self, df: DataFrame, kind: str, txn: int) -> dict:
-        """A file group with the statistics that pruning needs, gathered from the files just written."""
+        """A file group with the statistics that pruning needs, observed while it is written."""
         path = f"{kind}/txn={txn:012d}-{uuid.uuid4().hex}"
         bloom = {f"parquet.bloom.filter.enabled#{self.key}": "true"} if kind == "base" else {}  # for reads by key
-        df.write.options(**bloom).parquet(f"{self.engine.store.root}/{self.name}/{path}")
-        back = self.spark.read.parquet(f"{self.engine.store.root}/{self.name}/{path}")
-        plain = [f.name for f in back.schema if isinstance(f.dataType, (T.NumericType, T.StringType))] if kind == "base" else []
-        row = back.agg(F.count("*"), *[g(c) for c in plain for g in (F.min, F.max)]).first()
-        stats = {c.lower(): (row[1 + 2 * i], row[2 + 2 * i]) for i, c in enumerate(plain)}
-        return {"path": path, "kind": kind, "txn_id": txn, "rows": row[0], "stats": stats}
+        plain = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))] if kind == "base" else []
+        ends = [g(F.col(c)).alias(f"{c}:{end}") for c in plain for end, g in (("min", F.min), ("max", F.max))]
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *ends).write.options(**bloom).parquet(f"{self.engine.store.root}/{self.name}/{path}")
+        got = seen.get
+        stats = {c.lower(): (got[f"{c}:min"], got[f"{c}:max"]) for c in plain}
+        return {"path": path, "kind": kind, "txn_id": txn, "rows": got["rows"], "stats": stats}
 
     # reads
 
@@ -288,22 +289,12 @@ class Table:
     def _stage(self, txn: Transaction, df: DataFrame, kind: str) -> None:
         txn.files.append((self.name, self._write(df, kind, txn.txn_id)))
 
-    def _changes(self, txn: Transaction, before: DataFrame | None, after: DataFrame | None, columns: list[str]) -> DataFrame:
-        """Cells of a statement: before and after images by key."""
-        key = self.key
-
-        def cells(df: DataFrame, to: str) -> DataFrame:
-            pairs = F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias(to)) for c in columns))
-            return df.select(F.col(key).cast("string").alias("pk"), F.inline(pairs))
-
-        if before is None:
-            out = cells(after, "after_v").withColumns({"before_v": F.lit(None).cast("string"), "op": F.lit("insert")})
-        elif after is None:
-            out = cells(before, "before_v").withColumns({"after_v": F.lit(None).cast("string"), "op": F.lit("delete")})
-        else:
-            out = cells(before, "before_v").join(cells(after, "after_v"), ["pk", "col"]).withColumn("op", F.lit("update"))
-        out = out.withColumns({"txn_id": F.lit(txn.txn_id).cast("long"), "stmt": F.lit(txn.statements)})
-        return out.select("txn_id", "stmt", "pk", "col", "op", "before_v", "after_v")
+    def _changes(self, txn: Transaction, rows: DataFrame, op: str, images: dict[str, tuple[Column | None, Column | None]]) -> DataFrame:
+        """Cells of a statement: for each column its image before and after, both from the same row."""
+        text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+        cells = F.array(*(F.struct(F.lit(c).alias("col"), text(b).alias("before_v"), text(a).alias("after_v")) for c, (b, a) in images.items()))
+        out = rows.select(F.col(self.key).cast("string").alias("pk"), F.inline(cells))
+        return out.select(F.lit(txn.txn_id).cast("long").alias("txn_id"), F.lit(txn.statements).alias("stmt"), "pk", "col", F.lit(op).alias("op"), "before_v", "after_v")
 
     def insert(self, df: DataFrame, txn: Transaction) -> None:
         """Append rows; columns that ``df`` lacks are null."""
@@ -311,25 +302,31 @@ class Table:
         missing = {f.name: F.lit(None).cast(f.dataType) for f in self.schema.fields if f.name not in df.columns}
         rows = df.withColumns(missing).select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields))
         self._stage(txn, rows.withColumns({"created_txn": F.lit(txn.txn_id).cast("long"), "stmt": F.lit(txn.statements)}), "base")
-        self._stage(txn, self._changes(txn, None, rows, self.schema.names), "change")
+        self._stage(txn, self._changes(txn, rows, "insert", {c: (None, F.col(c)) for c in rows.columns}), "change")
 
     def update(self, where: str, values: dict[str, Any], txn: Transaction) -> int:
         """New versions of the rows that the filter finds at the transaction's start; returns how many."""
         txn.statements += 1
-        old = self.scan(where, as_of=txn.begin_seq)
-        new = old.withColumns({c: (v if isinstance(v, Column) else F.lit(v)).cast(self.schema[c].dataType) for c, v in values.items()})
-        n = self._lock(old, where, txn)
-        self._stage(txn, self._tombstones(old, txn), "tombstone")
-        self._stage(txn, new.withColumns({"created_txn": F.lit(txn.txn_id).cast("long"), "stmt": F.lit(txn.statements)}), "base")
-        self._stage(txn, self._changes(txn, old, new, list(values)), "change")
+        new = {c: (v if isinstance(v, Column) else F.lit(v)).cast(self.schema[c].dataType) for c, v in values.items()}
+        old = self.scan(where, as_of=txn.begin_seq).persist()
+        try:
+            n = self._lock(old, where, txn)
+            self._stage(txn, self._tombstones(old, txn), "tombstone")
+            self._stage(txn, old.withColumns(new | {"created_txn": F.lit(txn.txn_id).cast("long"), "stmt": F.lit(txn.statements)}), "base")
+            self._stage(txn, self._changes(txn, old, "update", {c: (F.col(c), v) for c, v in new.items()}), "change")
+        finally:
+            old.unpersist()
         return n
 
     def delete(self, where: str, txn: Transaction) -> int:
         txn.statements += 1
-        old = self.scan(where, as_of=txn.begin_seq)
-        n = self._lock(old, where, txn)
-        self._stage(txn, self._tombstones(old, txn), "tombstone")
-        self._stage(txn, self._changes(txn, old, None, self.schema.names), "change")
+        old = self.scan(where, as_of=txn.begin_seq).persist()
+        try:
+            n = self._lock(old, where, txn)
+            self._stage(txn, self._tombstones(old, txn), "tombstone")
+            self._stage(txn, self._changes(txn, old, "delete", {c: (F.col(c), None) for c in old.columns}), "change")
+        finally:
+            old.unpersist()
         return n
 
     def _lock(self, rows: DataFrame, where: str, txn: Transaction) -> int:
