@@ -97,8 +97,9 @@ def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
 def block_counts(blocks: DataFrame, least: float) -> DataFrame:
     """(node, n): weights of links found in blocks of rows (g, outer, node, weight, v), sorted by g.
 
-    An outer row counts all rows of its block, an inner row only the outer ones that are not members
-    twice: rows come as members (outer null or false) and, again, as outers (true).
+    A block holds members and, as outer rows, members outside the core. An outer row counts all members
+    that it links with; a member of the core, marked by a negative weight, counts the outer rows, as
+    the rest of its core is counted without comparison.
     """
 
     def count(outer, node, weight, rows):
@@ -106,7 +107,7 @@ def block_counts(blocks: DataFrame, least: float) -> DataFrame:
         o, m = np.flatnonzero(outer), np.flatnonzero(~outer)
         if not len(o) or not len(m):
             return None
-        inner_core = weight[m] < 0  # cores carry a negative weight: they count the outers, outers count everyone
+        inner_core = weight[m] < 0
         linked = (x[o] @ x[m].T >= least) & (node[o][:, None] != node[m][None, :])
         w = np.abs(weight)
         back = linked[:, inner_core].T @ w[o]

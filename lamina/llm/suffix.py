@@ -207,8 +207,9 @@ def repeats(contexts: list[bytes], u: np.ndarray, lo: np.ndarray) -> tuple[np.nd
     age = (place[doc] << 32) | off
     if not len(at):
         return doc, off, np.zeros(0, bool), own
-    oldest = np.minimum.reduceat(age, np.flatnonzero(np.append(True, own[1:] != own[:-1])))
-    return doc, off, age == np.repeat(oldest, np.diff(np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)))), own
+    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    oldest = np.repeat(np.minimum.reduceat(age, begins), np.diff(np.append(begins, len(own))))
+    return doc, off, age == oldest, own
 
 
 def _class_of_windows(buf: np.ndarray, at: np.ndarray, lcp: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -265,8 +266,10 @@ def shard_repeats(edges: DataFrame) -> DataFrame:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             shard = t["shard"].to_numpy()
-            starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, int)
-            fresh = bool(held) and len(shard) and held[-1]["shard"][-1].as_py() != shard[0]
+            if not len(shard):
+                continue
+            starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            fresh = bool(held) and held[-1]["shard"][-1].as_py() != shard[0]
             if size >= SHARD and fresh:
                 yield from out(rows_of(held))
                 held, size = [], 0
