@@ -29,10 +29,10 @@ def fn_date(s, d):
     return t(s, d, "orders").select("o_orderkey", F.date_trunc("month", o).cast("timestamp_ntz").alias("month"), F.year(o).alias("y"), F.dayofweek(o).alias("dow"), F.date_diff(o, F.lit("1992-01-01").cast("date")).cast("long").alias("days"), (o + F.expr("INTERVAL 30 DAYS")).alias("due"), F.date_format(o, "yyyy/MM").alias("ym"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 3) AS unit, CAST(floor(l_tax * 100) AS BIGINT) AS f, CAST(ceil(l_discount * 100) AS BIGINT) AS c, abs(l_discount - 0.05) AS a, round(sqrt(l_extendedprice), 6) AS sq, round(ln(l_extendedprice), 8) AS l, l_orderkey % 7 AS m, greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS le, round(power(l_quantity, 2), 2) AS p FROM lineitem WHERE l_orderkey < 3000")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 7) AS unit, CAST(floor(l_tax * 100) AS BIGINT) AS f, CAST(ceil(l_discount * 100) AS BIGINT) AS c, abs(l_discount - 0.05) AS a, round(sqrt(l_extendedprice), 6) AS sq, round(ln(l_extendedprice), 8) AS l, l_orderkey % 7 AS m, greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS le, round(power(l_quantity, 2), 2) AS p FROM lineitem WHERE l_orderkey < 3000")
 def fn_math(s, d):
     c = F.col
-    return t(s, d, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.round(c("l_extendedprice") / c("l_quantity"), 3).alias("unit"), F.floor(c("l_tax") * 100).alias("f"), F.ceil(c("l_discount") * 100).alias("c"), F.abs(c("l_discount") - 0.05).alias("a"), F.round(F.sqrt("l_extendedprice"), 6).alias("sq"), F.round(F.log("l_extendedprice"), 8).alias("l"), (c("l_orderkey") % 7).alias("m"), F.greatest("l_tax", "l_discount").alias("g"), F.least("l_tax", "l_discount").alias("le"), F.round(F.pow("l_quantity", F.lit(2.0)), 2).alias("p"))
+    return t(s, d, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.round(c("l_extendedprice") / c("l_quantity"), 7).alias("unit"), F.floor(c("l_tax") * 100).alias("f"), F.ceil(c("l_discount") * 100).alias("c"), F.abs(c("l_discount") - 0.05).alias("a"), F.round(F.sqrt("l_extendedprice"), 6).alias("sq"), F.round(F.log("l_extendedprice"), 8).alias("l"), (c("l_orderkey") % 7).alias("m"), F.greatest("l_tax", "l_discount").alias("g"), F.least("l_tax", "l_discount").alias("le"), F.round(F.pow("l_quantity", F.lit(2.0)), 2).alias("p"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 150000 THEN 'mid' ELSE 'high' END AS band, CAST(o_totalprice AS DECIMAL(12, 1)) AS dec1, CAST(o_orderkey AS VARCHAR) AS txt, TRY_CAST(o_orderstatus AS INT) AS none FROM orders")
