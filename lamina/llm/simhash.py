@@ -30,7 +30,7 @@ from lamina.llm.common import components, cut, documents, forest, mix64, shingle
 
 BLOCKS = (13, 13, 13, 13, 12)  # bits of each block
 PIVOTS = 16
-PART = 1024  # nodes of a key's part; two parts meet in a group
+PART, LARGEST = 256, 8192  # nodes of a key's part, which grows with the root of all rows; two parts meet in a group
 WORDS, SHINGLE = 4, 5  # for documents of a given similarity: 64-bit words of a fingerprint, words of a shingle
 BANDS, ROWS = 16, 4
 
@@ -133,7 +133,8 @@ def candidate_groups(nodes: DataFrame, radius: int = 3) -> DataFrame:
 def bounded_groups(rows: DataFrame) -> DataFrame:
     """(key, i, j, node, fp) of rows (key, node, fp): keys of one node go, large ones are cut into parts, every two of which meet."""
     full = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / PART).cast("int")
+    part = min(LARGEST, max(PART, math.isqrt(rows.count())))
+    parts = F.ceil(F.col("n") / part).cast("int")
     rows = rows.join(full, "key").withColumns({"parts": parts, "part": F.pmod(F.xxhash64("node"), parts).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "fp")
