@@ -3,7 +3,7 @@
 Each pass sorts the distinct vectors lexicographically by the concatenated signs of random
 projections and compares every vector with its next ``WINDOW`` neighbours; pairs whose cosine
 reaches the threshold in double precision are verified links, and components are the union of the
-links of all passes. Passes find what belongs together; the links of a component are then counted
+links of all passes. The number of passes grows with that of distinct vectors, see ``passes_of``. Passes find what belongs together; the links of a component are then counted
 whole, without listing pairs: members within half the threshold's angle of the component's first
 vector are all linked with each other (angles obey the triangle inequality), and only the others
 are compared, in blocks, with all members.
@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import components, cut, forest
+from lamina.llm.common import components, cut, forest, release
 
-PASSES = 8
+PASSES = 8  # at least, and in one shuffle
 WINDOW = 48
+RECALL = 0.99  # of pairs at the threshold, which decides the number of passes
 BITS = 60
 PART = 1024  # members in a block of comparisons
 
@@ -43,14 +44,24 @@ def projections(dim: int, turn: int) -> np.ndarray:
     return np.random.default_rng([turn, dim]).standard_normal((dim, BITS))
 
 
+def passes_of(n: int, least: float = 0.9, window: int = WINDOW) -> int:
+    """Passes that bring ``RECALL`` of the pairs at the threshold together among ``n`` vectors spread evenly.
+
+    A sign is equal for two vectors in the share of their angle that is left of a half turn, and a
+    window holds all vectors that agree in the first log2(n / window) signs.
+    """
+    one = (1 - math.acos(least) / math.pi) ** max(0.0, math.log2(max(n, 1) / window))
+    return PASSES if one >= 1 else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - one)))
+
+
 def valid(vector: str = "embedding"):
     v = F.col(vector)
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return v.isNotNull() & (F.size(v) > 0) & good & F.exists(v, lambda x: x != 0)
 
 
-def sort_keys(nodes: DataFrame, passes: int) -> DataFrame:
-    """(turn, dim, key, node, v): one row of each node for each pass."""
+def sort_keys(nodes: DataFrame, turns: range) -> DataFrame:
+    """(turn, dim, key, node, v): one row of each node for each pass of ``turns``."""
 
     def run(batches):
         for batch in batches:
@@ -60,12 +71,12 @@ def sort_keys(nodes: DataFrame, passes: int) -> DataFrame:
                 at = np.flatnonzero(dims == dim)
                 own_node, own = node.take(pa.array(at)), v.take(pa.array(at))
                 x = matrix(own, int(dim))
-                for turn in range(passes):
+                for turn in turns:
                     key = ((x @ projections(int(dim), turn)) > 0).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     n = len(at)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, turn, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(key), own_node, own], names=["turn", "dim", "key", "node", "v"])
 
-    return nodes.select("node", "v").mapInArrow(run, "turn int, dim int, key long, node long, v array<double>")
+    return nodes.select("node", "v").mapInArrow(run, f"turn int, dim int, key long, node long, v {nodes.schema['v'].dataType.simpleString()}")
 
 
 def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
@@ -94,6 +105,14 @@ def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long")
 
 
+def pass_links(nodes: DataFrame, turns: range, least: float, window: int) -> DataFrame:
+    """(a, b): the links that some passes find."""
+    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    order = ["turn", "dim", "key", "node"]
+    keyed = sort_keys(nodes, turns).repartitionByRange(parts, *order)
+    return window_links(keyed.sortWithinPartitions(*order), least, window)
+
+
 def block_counts(blocks: DataFrame, least: float) -> DataFrame:
     """(node, n): weights of links found in blocks of rows (g, outer, node, weight, v), sorted by g.
 
@@ -136,22 +155,25 @@ def block_counts(blocks: DataFrame, least: float) -> DataFrame:
     return blocks.mapInArrow(run, "node long, n long")
 
 
-def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """(key, n_links, component_id, kept) for every row."""
-    rows = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select(F.col(key).alias("k"), F.col(vector).cast(kind).alias("v"))
     rows = rows.withColumn("ok", valid("v")).withColumn("node", F.when(F.col("ok"), F.xxhash64("v")))
     good = rows.where("ok")
     nodes = cut(good.groupBy("node").agg(F.count("*").alias("copies"), F.min("k").alias("least"), F.first("v").alias("v")))
-    keyed = sort_keys(nodes, passes)
-    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["turn", "dim", "key", "node"]
-    found = window_links(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order), least, window)
+    passes = passes or passes_of(nodes.count(), least, window)
+    found = None
+    for first in range(0, passes, PASSES):  # a shuffle has so many copies of the vectors, however many passes there are
+        some = cut(pass_links(nodes, range(first, min(passes, first + PASSES)), least, window))
+        found = some if found is None else found.unionByName(some)
+        release(nodes.sparkSession)
     comp = cut(components(found))
 
     # whole counts in each component of two or more nodes
     members = cut(comp.join(nodes, "node"))
     first = members.where("node = root").select("root", F.col("v").alias("c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     near = dot("v", "c") / F.sqrt(dot("v", "v")) / F.sqrt(dot("c", "c"))
     core = near >= math.cos(math.acos(least) / 2) + 1e-9
     members = cut(members.join(first, "root").select("root", "node", "copies", "least", "v", core.alias("core")))

@@ -1,12 +1,14 @@
 """Operators on Spark against brute force, and on odd tables."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -202,6 +204,19 @@ def test_embeddings(spark, monkeypatch):
     assert embedding.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_loose_pairs(spark):
+    """Isolated pairs at the threshold are found at any size of the table."""
+    rng, n = np.random.default_rng(3), 10_000
+    x, y = rng.standard_normal((2, n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.901 * x + math.sqrt(1 - 0.901**2) * y]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(2 * n), "embedding": list(both)}), "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embedding.near_vectors(df).collect()}
+    assert sum(got[i + n].component_id == i and got[i].n_links > 0 for i in range(n)) > 0.98 * n
+
+
 # toxicity
 
 
