@@ -3,7 +3,8 @@
 Each pass sorts the distinct vectors lexicographically by the concatenated signs of random
 projections and compares every vector with its next ``WINDOW`` neighbours; pairs whose cosine
 reaches the threshold in double precision are verified links, and components are the union of the
-links of all passes. The number of passes grows with that of distinct vectors, see ``passes_of``. Passes find what belongs together; the links of a component are then counted
+links of all passes. The number of passes grows with that of distinct vectors, see ``passes_of``.
+Tasks sort ranges; vectors at their borders meet in a second step. Passes find what belongs together; the links of a component are then counted
 whole, without listing pairs: members within half the threshold's angle of the component's first
 vector are all linked with each other (angles obey the triangle inequality), and only the others
 are compared, in blocks, with all members.
@@ -21,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,10 +82,31 @@ def sort_keys(nodes: DataFrame, turns: range) -> DataFrame:
 
 
 def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
-    """(a, b): verified pairs within the window of a pass; a batch hands on a spanning forest of them."""
+    """(a, b): verified pairs within the window of a pass; a batch hands on a spanning forest of them.
+
+    Further rows (part, i, e, turn, dim, node, v) are the first and last ``window`` rows of each
+    partition, i rows from its start and e from its end.
+    """
+    ends = ["turn", "dim", "node", "v"]
+
+    def edge_rows(head, last, n):
+        i = np.concatenate([np.arange(len(head)), np.arange(max(len(head), n - len(last)), n)]).astype(np.int32)
+        t = pa.concat_tables([head, last.slice(len(last) - (len(i) - len(head)))]).combine_chunks()
+        part = np.full(len(i), TaskContext.get().partitionId(), np.int32)
+        none = pa.nulls(len(i), pa.int64())
+        for b in t.to_batches():
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(part), pa.array(i), pa.array(n - 1 - i, pa.int32()), *b.columns], names=["a", "b", "part", "i", "e", *ends])
+
     def run(batches):
         tail: tuple | None = None  # the last rows of what came before
+        head, last, n = None, None, 0
         for batch in batches:
+            if not len(batch):
+                continue
+            own = pa.Table.from_batches([batch]).select(ends)
+            head = own.slice(0, window) if head is None else pa.concat_tables([head, own.slice(0, window - len(head))])
+            last = own if last is None else pa.concat_tables([last, own])
+            last, n = last.slice(max(0, len(last) - window)), n + len(batch)
             turn, dim, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
             left, right, at = [], [], 0
             while at < len(node):  # runs of one pass and length
@@ -100,17 +123,46 @@ def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
                 at = end
             if left:
                 a, b = forest(np.concatenate(left), np.concatenate(right))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                more = [pa.nulls(len(a), own.schema.field(c).type) for c in ends]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int32())] * 3, *more], names=["a", "b", "part", "i", "e", *ends])
+        if n:
+            yield from edge_rows(head, last, n)
 
-    return keyed.mapInArrow(run, "a long, b long")
+    kind = keyed.schema["v"].dataType.simpleString()
+    return keyed.mapInArrow(run, f"a long, b long, part int, i int, e int, turn int, dim int, node long, v {kind}")
+
+
+def border_rows(edges: DataFrame, passes: int, window: int) -> DataFrame:
+    """Rows as of ``sort_keys`` with a turn for each border of partitions, around which up to ``window`` rows of each side lie.
+
+    Where a partition has fewer rows than that, those beyond it come too.
+    """
+    sizes = sorted((r.part, r.n) for r in edges.groupBy("part").agg(F.max(F.col("i") + F.col("e") + 1).alias("n")).collect())
+    places = []  # part, border, side, rows between them
+    for border in range(1, len(sizes)):
+        for side, parts in ((1, sizes[border:]), (0, sizes[border - 1 :: -1])):
+            between = 0
+            for part, n in parts:
+                if between >= window:
+                    break
+                places.append((part, border, side, between))
+                between += n
+    places = edges.sparkSession.createDataFrame(places, "part int, border int, side int, between int")
+    own = F.col("between") + F.when(F.col("side") == 1, F.col("i")).otherwise(F.col("e"))
+    rows = edges.join(F.broadcast(places), "part").where(own < window)  # a few rows for each partition
+    key = F.when(F.col("side") == 1, own).otherwise(-1 - own).cast("long")
+    return rows.select((F.col("border") * passes + F.col("turn")).alias("turn"), "dim", key.alias("key"), "node", "v")
 
 
 def pass_links(nodes: DataFrame, turns: range, least: float, window: int) -> DataFrame:
-    """(a, b): the links that some passes find."""
+    """(a, b): the links that some passes find, whatever the number of partitions."""
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["turn", "dim", "key", "node"]
     keyed = sort_keys(nodes, turns).repartitionByRange(parts, *order)
-    return window_links(keyed.sortWithinPartitions(*order), least, window)
+    found = cut(window_links(keyed.sortWithinPartitions(*order), least, window))
+    borders = border_rows(found.where("part is not null"), turns.stop, window)
+    across = window_links(borders.repartition(parts, "turn").sortWithinPartitions(*order), least, window)
+    return found.unionByName(across).where("a is not null").select("a", "b")
 
 
 def block_counts(blocks: DataFrame, least: float) -> DataFrame:

@@ -217,6 +217,22 @@ def test_embeddings_loose_pairs(spark):
     assert sum(got[i + n].component_id == i and got[i].n_links > 0 for i in range(n)) > 0.98 * n
 
 
+def test_embeddings_borders(spark):
+    """What a pass finds does not depend on the number of partitions, however few rows they have."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 16))
+    x = np.concatenate([x, x + 0.3 * rng.standard_normal(x.shape)])
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
+    held, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (1, 7, 150):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            seen.append(sorted(tuple(r) for r in components(embedding.pass_links(nodes, range(1), 0.9, 8)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert seen[0] and seen[0] == seen[1] == seen[2]
+
+
 # toxicity
 
 
