@@ -77,8 +77,8 @@ def pivots(words: int = 1, n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, (n, words), dtype=np.uint64)
 
 
-def linked_pairs(group: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of nodes within ``radius`` bits and in the same group.
+def linked_pairs(group: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int = 3, alike=None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of nodes within ``radius`` bits and in the same group, which are ``alike`` (rows a, rows b) if given.
 
     ``fp`` has a row of 64-bit words for each node. Rows of a group are ordered by their distance to
     the first pivot and compared with ever later ones; pairs that are connected already need no
@@ -100,6 +100,8 @@ def linked_pairs(group: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: in
         for c in range(1, table.shape[1]):
             a = a[np.abs(table[a + lag, c] - table[a, c]) <= radius]
         a = a[np.bitwise_count(fp[a] ^ fp[a + lag]).sum(axis=1) <= radius]
+        if alike is not None:
+            a = a[alike(order[a], order[a + lag])]
         left.append(node[a])
         right.append(node[a + lag])
         if len(a):
@@ -140,16 +142,24 @@ def bounded_groups(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "fp")
 
 
-def links(groups: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links between nodes, enough of them to connect what is connected. ``groups``: key, i, j, node, fp (binary)."""
+def links(groups: DataFrame, radius: int = 3, *, words: int | None = None, similarity: float = 0.0) -> DataFrame:
+    """(a, b): links between nodes, enough of them to connect what is connected. ``groups``: key, i, j, node, fp (binary).
+
+    With ``words``, a fingerprint has so many words, and the sorted shingle hashes that follow it
+    must resemble each other by ``similarity``.
+    """
     groups = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select(F.xxhash64("key", "i", "j").alias("g"), "node", "fp")
 
     def run(batches):
         kept = None
 
         def flush(t):
-            fp = np.frombuffer(b"".join(t["fp"].to_pylist()), dtype=">u8").astype(np.uint64).reshape(len(t), -1)
-            a, b = linked_pairs(t["g"].to_numpy(), t["node"].to_numpy(), fp, radius)
+            raw, alike = t["fp"].to_pylist(), None
+            if words is not None:
+                sets, raw = [np.frombuffer(x, "<u8", offset=8 * words) for x in raw], [x[: 8 * words] for x in raw]
+                alike = lambda a, b: np.array([jaccard(sets[x], sets[y], similarity) >= similarity for x, y in zip(a, b)], dtype=bool)
+            fp = np.frombuffer(b"".join(raw), dtype=">u8").astype(np.uint64).reshape(len(t), -1)
+            a, b = linked_pairs(t["g"].to_numpy(), t["node"].to_numpy(), fp, radius, alike)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -179,9 +189,25 @@ def clusters(prints: DataFrame, *, key: str = "doc_id", radius: int = 3) -> Data
 # --- documents of a given similarity ----------------------------------------------------------------
 
 
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """The resemblance of two sorted sets, 0 where their sizes alone keep it below ``least``."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or len(a) < least * len(b):
+        return float(len(a) == len(b))
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text, sorted by hash."""
+    return np.unique(shingle_hashes(word_hashes(text.lower()), shingle))
+
+
 def wide_prints(rows: DataFrame, *, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``rows`` with sh_fp, a fingerprint of ``WORDS`` times 64 bits, and sh_keys in place of the text.
+    """``rows`` with sh_fp, a fingerprint of ``WORDS`` times 64 bits, sh_keys and node, a hash of its shingles, in place of the text.
 
+    All are of distinct shingles, however often a text has them.
     The keys are least hashes of the shingles, ``ROWS`` at a time: texts that share most shingles
     share one of the ``BANDS`` keys almost surely, texts that share none have none in common.
     """
@@ -189,10 +215,11 @@ def wide_prints(rows: DataFrame, *, text: str = "text", shingle: int = SHINGLE)
     turns = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
     spins = np.random.default_rng(6).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 
-    def one(t: bytes) -> tuple[bytes, np.ndarray]:
-        h = shingle_hashes(word_hashes(t.lower()), shingle)
+    def one(t: bytes) -> tuple[bytes, np.ndarray, int]:
+        h = shingle_set(t, shingle)
+        node = int(np.frombuffer(xxhash.xxh64_digest(h.tobytes()), ">i8")[0])
         if not len(h):
-            return bytes(8 * WORDS), np.zeros(1, np.int64)
+            return bytes(8 * WORDS), np.zeros(1, np.int64), node
         ones = np.zeros(64 * WORDS, np.int64)
         least = np.full(len(turns), np.uint64((1 << 64) - 1))
         for i in range(0, len(h), 4096):
@@ -205,42 +232,63 @@ def wide_prints(rows: DataFrame, *, text: str = "text", shingle: int = SHINGLE)
         with np.errstate(over="ignore"):
             for r in range(ROWS):
                 keys = mix64(keys * np.uint64(31) + least[r::ROWS]) + np.arange(BANDS, dtype=np.uint64)
-        return np.packbits(2 * ones > len(h)).tobytes(), keys.view(np.int64)
+        return np.packbits(2 * ones > len(h)).tobytes(), keys.view(np.int64), node
 
     def run(batches):
         for batch in batches:
-            fps, keys = [], []
+            fps, keys, nodes = [], [], []
             for _, block in text_blocks(batch.column(at)):
                 for t in block:
-                    f, k = one(t)
+                    f, k, node = one(t)
                     fps.append(f)
                     keys.append(k)
+                    nodes.append(node)
             thin = batch.drop_columns([batch.schema.names[at]])
-            new = [pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*thin.columns, *new], names=[*thin.schema.names, "sh_fp", "sh_keys"])
+            new = [pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*thin.columns, *new], names=[*thin.schema.names, "sh_fp", "sh_keys", "node"])
+
+    return rows.mapInArrow(run, widened(rows.drop(text), {"sh_fp": "binary", "sh_keys": "array<long>", "node": "long"}))
+
+
+def with_sets(rows: DataFrame, *, text: str = "sh_text", fp: str = "fp", shingle: int = SHINGLE) -> DataFrame:
+    """(key, node, fp) of rows (key, node, fp, text), with the text's distinct shingles behind the fingerprint."""
+
+    def run(batches):
+        for batch in batches:
+            out, prints = [], batch.column(2).to_pylist()
+            for _, block in text_blocks(batch.column(3)):
+                out += [prints[len(out) + i] + shingle_set(t, shingle).astype("<u8").tobytes() for i, t in enumerate(block)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["key", "node", "fp"])
 
-    return rows.mapInArrow(run, widened(rows.drop(text), {"sh_fp": "binary", "sh_keys": "array<long>"}))
+    return rows.select("key", "node", fp, text).mapInArrow(run, "key long, node long, fp binary")
 
 
 def radius_of(similarity: float) -> int:
-    """Bits by which fingerprints of texts of that resemblance differ: the mean, and one standard deviation more."""
+    """Bits by which fingerprints of texts of that resemblance differ: the mean, and three and a half standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * WORDS
-    return math.ceil(n * share + math.sqrt(n * share * (1 - share)))
+    return math.ceil(n * share + 3.5 * math.sqrt(n * share * (1 - share)))
 
 
 def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id", similarity: float = 0.8) -> DataFrame:
     """One document of each group of near copies: the smallest key, ties by hashes of key and text.
 
-    Near copies resemble each other by ``similarity`` or more in their five-word shingles, as wide
-    fingerprints tell. The choice is made on narrow rows; the wide rows are read again and joined to
+    Near copies resemble each other by ``similarity`` or more in their sets of five-word shingles.
+    Wide fingerprints tell what may belong together, in components of which the shingles are then
+    read again; only pairs whose sets resemble each other are linked. The choice is made on narrow rows; the wide rows are read again and joined to
     what is kept. Of repeated rows one stays.
     """
     names = {"sh_a": F.xxhash64(F.col(key), F.col(text)), "sh_b": F.hash(F.col(text))}  # together a row's identity
     rows = docs.withColumns(names).select(F.col(key).alias("sh_key"), "sh_a", "sh_b", F.col(text).alias("sh_text"))
-    prints = cut(wide_prints(rows, text="sh_text").withColumn("node", F.xxhash64("sh_fp")))
+    prints = cut(wide_prints(rows, text="sh_text"))
     keyed = prints.select("node", "sh_fp", F.explode("sh_keys").alias("key")).groupBy("key", "node").agg(F.first("sh_fp").alias("fp"))
-    found = components(links(bounded_groups(keyed), radius_of(similarity)))
+    radius = radius_of(similarity)
+    near = cut(components(links(bounded_groups(keyed), radius)))
+    one = F.min(F.struct("sh_a", "sh_b", "sh_fp")).alias("m")  # a row of each node
+    asked = cut(prints.join(near, "node").groupBy("node", "root").agg(one).select(F.col("root").alias("key"), "node", "m.*"))
+    texts = rows.join(asked.withColumnRenamed("sh_fp", "fp"), ["sh_a", "sh_b"]).select("key", "node", "fp", "sh_text")
+    sets = cut(with_sets(texts).dropDuplicates(["node"]))
+    found = components(links(bounded_groups(sets), radius, words=WORDS, similarity=similarity))
     first = F.min(F.struct(F.col("sh_key").isNull(), "sh_key", "sh_a", "sh_b")).alias("m")
     nodes = prints.groupBy("node").agg(first).join(found, "node", "left")
     kept = cut(nodes.groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m")).select("m.sh_a", "m.sh_b"))

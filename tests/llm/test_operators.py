@@ -481,6 +481,31 @@ def test_keep_first(spark, odd, empty):
     assert left.count(4) == 1 and 5 not in left and left.count(7) == 1 and left.count(None) == 1
 
 
+def test_keep_first_by_true_resemblance(spark):
+    """Copies just above a resemblance of 0.8 go, those just below and texts that differ in counts only are told by their sets."""
+    r = random.Random(6)
+    new = iter(range(10**9))
+    word = lambda: f"w{next(new)}x{r.randrange(1000)}"
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(1000)]
+        w = list(base)
+        for p in r.sample(range(1, 199), 22 + g % 2):  # five shingles each; 22: 0.801, 23: 0.793
+            w[5 * p] = word()
+        rows += [(10 * g, " ".join(base), "s"), (10 * g + 1, " ".join(w), "s")]
+    for g in range(60, 70):
+        w = [word() for _ in range(200)]
+        rows += [(10 * g, " ".join(w), "s"), (10 * g + 1, " ".join(w + w[:30] * 40), "s")]
+    sets = {}
+    for i, t, _ in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    like = lambda a, b: len(a & b) / len(a | b)
+    gone = {10 * g + 1 for g in range(70) if like(sets[10 * g], sets[10 * g + 1]) >= 0.8}
+    assert len(gone) == 40
+    assert {x.doc_id for x in simhash.keep_first(documents(spark, rows)).collect()} == set(sets) - gone
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, x) for x in range(1001, 1300)] + [(r.randrange(3000, 3100), r.randrange(3000, 3100)) for _ in range(60)] + [(7, 7), (None, 3)]
