@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,20 +21,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut_folder(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors see.
+
+    Where it is unset, a master ``local`` (one machine, as in tests) gets a temporary folder; on a
+    cluster that would be the driver's own disk, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="lamina-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the queries run inside go when each query ends; they'd stay until the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests on one
-    machine) a temporary one is made.
-    """
-    cut_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage. ``df`` itself isn't to be run again."""
+    shared_folder(df.sparkSession)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 class Scratch:
@@ -44,25 +66,21 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        cut_folder(spark)
         self.spark = spark
-        self.root = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+        with tidy(self.spark):
+            df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str = "") -> None:
-        with contextlib.suppress(Exception):  # the session may have ended
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps now, rather than at the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def drop(self, *names: str) -> None:
+        """Some tables, or all of them."""
+        for name in names or ("",):
+            with contextlib.suppress(Exception):  # the session may have ended
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def widened(df: DataFrame, more: dict[str, str]) -> T.StructType:

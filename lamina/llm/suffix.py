@@ -8,11 +8,17 @@ a hash of the run's bytes and its place. Anchors that occur once are dropped by
 occurrences with equal bytes all but the first go whole. What is left are the first occurrences of
 anchors whose surroundings differ, the edges of repeats: their bytes are gathered in shards by
 anchor, sorted by Larsson-Sadakane refinement in numpy, and windows that share ``LENGTH`` bytes are
-read off Kasai's common prefixes. An anchor with very many surroundings is spread over several
-shards; what each shard found first of a window then meets the other shards' sorted windows.
-
-Suffix arrays over whole shards of documents would have to be searched from every other shard, so
-that work grew with the square of the corpus; shards by anchor need no such search.
+read off Kasai's common prefixes.
+
+An anchor with more than ``VARIANTS`` surroundings, such as one near the end of a passage that
+countless documents share, is narrowed before it reaches a shard: its surroundings are cut into
+blocks of windows by the place of the anchor in them (``WIDTHS``), and a block's key is the string
+that all windows of the block have in common. Equal windows lie in blocks of equal keys. Blocks
+with equal bytes are again one and its copies, a key of one block has no repeats, and only keys
+that still have too many blocks are cut further, down to blocks of one window, of which all with a
+key are equal. A surrounding hands on a few blocks at each level, those where its passage ends,
+whatever the number of its windows; and since a key's blocks are all in one shard, shards need no
+search of each other, work that would grow with the square of the corpus.
 
 Texts cross the network when edges are gathered and when results are written; the first pass reads
 them in place. Hot passages only lengthen lists of narrow rows that are aggregated before they are
@@ -21,48 +27,54 @@ shuffled or joined in splittable parts.
 Defined results. Null text: empty, nothing removed, the hash of no bytes. Texts under ``LENGTH``
 bytes stay whole. Rows with equal id and text count as one document and each get its result. Rows
 with equal id and different texts follow each other in an order by a hash of the text. Null ids
-come last. Empty table: empty result.
+come last. Empty table: empty result. Only the id and the text are read, so other columns may have
+any name, and none of them is in the result.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import Scratch, cut, documents, prefix_hash, release, span_hash, text_blocks
+from lamina.llm.common import Scratch, cut, documents, prefix_hash, span_hash, text_blocks
 
 LENGTH = 100
 GRAM = 24
 BLOCK = 250_000  # bytes of texts hashed at once
 CHUNK = 1 << 23  # windows of one text hashed at once
 SHARD = 1_000_000  # bytes of a suffix array, beyond which the next shard starts another
-VARIANTS = 500  # occurrences of an anchor in one shard
+VARIANTS = 2000  # surroundings of one key in a shard; memory is bounded by it and SHARD, results don't depend on it
+WIDTHS = (20, 5, 1)  # windows of a block, level by level; each divides the one before
 LAST = (1 << 63) - 1
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor's hash, hash of the run's bytes, first window, last window) of every run of windows with one anchor."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text, anchor's hash, hash of the run's bytes, first window, last window, anchor's offset) of every run of windows with one anchor."""
     sizes = np.array([len(t) for t in texts])
     raw = b"".join(texts)
     parts = []
     if len(texts) == 1 and len(raw) > CHUNK + LENGTH:
-        for at in range(0, len(raw) - LENGTH + 1, CHUNK):
-            doc, h, c, lo, hi = anchors([raw[at : at + CHUNK + LENGTH - 1]])
-            parts.append((doc, h, c, lo + at, hi + at))
+        for begin in range(0, len(raw) - LENGTH + 1, CHUNK):
+            doc, h, c, lo, hi, at = anchors([raw[begin : begin + CHUNK + LENGTH - 1]])
+            parts.append((doc, h, c, lo + begin, hi + begin, at))
         return tuple(np.concatenate(x) for x in zip(*parts))
     empty = np.zeros(0, np.int64)
+    none = empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
     if len(raw) < LENGTH:
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return none
     buf = np.frombuffer(raw, dtype=np.uint8)
     words = np.lib.stride_tricks.as_strided(buf, shape=(len(buf) - 7, 8), strides=(1, 1)).copy().view("<u8").ravel()
     m = len(buf) - GRAM + 1
     with np.errstate(over="ignore"):
-        h = words[:m] * np.uint64(0x9E3779B97F4A7C15) + words[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F) + words[16 : 16 + m] * np.uint64(0x165667B19E3779F9)
+        h = words[:m] * np.uint64(0x9E3779B97F4A7C15)
+        h += words[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h += words[16 : 16 + m] * np.uint64(0x165667B19E3779F9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -80,13 +92,13 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])) & whole
     first = np.flatnonzero(new)
     if not len(first):
-        return empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return none
     owner = doc[first]
     last = np.append(first[1:], len(raw)) - 1
     last = np.minimum(last, end[owner] - LENGTH)
     context = span_hash(prefix_hash(buf), first, last + LENGTH)
     start = (end - sizes)[owner]
-    return owner, h[anchor[first]], context, first - start, last - start
+    return owner, h[anchor[first]], context, first - start, last - start, anchor[first] - first
 
 
 def numbered(docs: DataFrame, *, key: str, text: str) -> DataFrame:
@@ -105,17 +117,20 @@ def numbered(docs: DataFrame, *, key: str, text: str) -> DataFrame:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(u, h, c, lo, more): lists of the runs of each document; a run has windows lo to lo + more."""
+    """(u, h, c, lo, more, at): lists of the runs of each document; a run has windows lo to lo + more, its anchor starts at lo + at."""
+    names = ["u", "h", "c", "lo", "more", "at"]
 
     def run(batches):
         for batch in batches:
             for first, block in text_blocks(batch.column(1), BLOCK):
-                doc, h, c, lo, hi = anchors(block)
+                doc, h, c, lo, hi, at = anchors(block)
                 offsets = np.searchsorted(doc, np.arange(len(block) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h.view(np.int64), c.view(np.int64), lo.astype(np.int32), (hi - lo).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), *lists], names=["u", "h", "c", "lo", "more"])
+                values = (h.view(np.int64), c.view(np.int64), lo.astype(np.int32), (hi - lo).astype(np.int8), at.astype(np.int8))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in values]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), *lists], names=names)
 
-    return rows.select("u", "text").mapInArrow(run, "u long, h array<long>, c array<long>, lo array<int>, more array<int>")
+    kinds = "u long, h array<long>, c array<long>, lo array<int>, more array<tinyint>, at array<tinyint>"
+    return rows.select("u", "text").mapInArrow(run, kinds)
 
 
 # --- suffix arrays of a shard ---------------------------------------------------------------------
@@ -230,39 +245,27 @@ def _class_of_windows(buf: np.ndarray, at: np.ndarray, lcp: np.ndarray, window:
 
 
 def shard_repeats(edges: DataFrame) -> DataFrame:
-    """(u, lo, hi, gram): repeated windows [lo, hi] of the edges, sorted by shard; windows of split anchors that came first have their bytes in ``gram``."""
-
-    def solve(rows):
-        _, u, lo, split, ctx = rows
-        doc, off, first, _ = repeats(ctx, u, lo)
+    """(u, lo, hi): repeated windows [lo, hi] of the edges (shard, u, lo, ctx), which are sorted by shard."""
+
+    def solve(tables):
+        t = pa.concat_tables(tables).combine_chunks()
+        at = [t[c].to_numpy() for c in ("shard", "u", "lo")]
+        again = np.append(False, np.logical_and.reduce([x[1:] == x[:-1] for x in at]))  # repeated rows
+        t = t.filter(pa.array(~again)).combine_chunks() if again.any() else t
+        u, lo = t["u"].to_numpy(), t["lo"].to_numpy().astype(np.int64)
+        doc, off, first, _ = repeats(t["ctx"].to_pylist(), u, lo)
         turn = np.argsort((doc << 32) | off)
-        doc, off, first = doc[turn], off[turn], first[turn]
-        again = ~first
-        runs = np.flatnonzero(again & ~np.append(False, again[:-1] & (doc[1:] == doc[:-1]) & (off[1:] == off[:-1] + 1)))
-        stops = np.flatnonzero(again & ~np.append(again[1:] & (doc[1:] == doc[:-1]) & (off[1:] == off[:-1] + 1), False))
+        doc, off, again = doc[turn], off[turn], ~first[turn]
+        joint = again[:-1] & again[1:] & (doc[1:] == doc[:-1]) & (off[1:] == off[:-1] + 1)
+        runs = np.flatnonzero(again & ~np.append(False, joint))
+        stops = np.flatnonzero(again & ~np.append(joint, False))
         d = doc[runs]
-        yield u[d], lo[d] + off[runs], lo[d] + off[stops], [None] * len(d)
-        lone = np.flatnonzero(first & split[doc])
-        for i in range(0, len(lone), 20_000):
-            a = lone[i : i + 20_000]
-            d = doc[a]
-            yield u[d], lo[d] + off[a], lo[d] + off[a], [ctx[x][o : o + LENGTH] for x, o in zip(d, off[a])]
-
-    def out(rows):
-        for u, lo, hi, gram in solve(rows):
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(gram, pa.binary())], names=["u", "lo", "hi", "gram"])
+        if len(d):
+            columns = [pa.array(u[d]), pa.array((lo[d] + off[runs]).astype(np.int32)), pa.array((lo[d] + off[stops]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "lo", "hi"])
 
     def run(batches):
         held, size = [], 0  # whole shards, several to a suffix array
-
-        def rows_of(tables):
-            t = pa.concat_tables(tables).combine_chunks()
-            at = [t[c].to_numpy() for c in ("shard", "u", "lo")]
-            again = np.append(False, np.logical_and.reduce([x[1:] == x[:-1] for x in at]))  # repeated rows
-            t = t.filter(pa.array(~again)).combine_chunks() if again.any() else t
-            return [t["shard"].to_numpy(), t["u"].to_numpy(), t["lo"].to_numpy().astype(np.int64), t["split"].to_numpy(), t["ctx"].to_pylist()]
-
         for batch in batches:
             t = pa.Table.from_batches([batch])
             shard = t["shard"].to_numpy()
@@ -271,18 +274,91 @@ def shard_repeats(edges: DataFrame) -> DataFrame:
             starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
             fresh = bool(held) and held[-1]["shard"][-1].as_py() != shard[0]
             if size >= SHARD and fresh:
-                yield from out(rows_of(held))
+                yield from solve(held)
                 held, size = [], 0
             elif size >= SHARD and len(starts) > 1:
                 held.append(t.slice(0, starts[1]))
-                yield from out(rows_of(held))
+                yield from solve(held)
                 t, held, size = t.slice(starts[1]), [], 0
             held.append(t)
             size += t["ctx"].nbytes
         if held:
-            yield from out(rows_of(held))
+            yield from solve(held)
+
+    return edges.mapInArrow(run, "u long, lo int, hi int")
 
-    return edges.mapInArrow(run, "u long, lo int, hi int, gram binary")
+
+# --- blocks of windows ------------------------------------------------------------------------------
+
+BLOCK_SCHEMA = "key long, s long, u long, lo int, more tinyint, at tinyint, ctx binary"
+_NAMES = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int8(), pa.binary()]
+
+
+def blocks_of(u: int, lo: int, more: int, at: int, ctx: bytes, width: int):
+    """A row for each block of ``width`` windows: its key, a hash of its bytes, and what they are.
+
+    The windows begin at lo to lo + more, the anchor lies ``at`` bytes after the first of them; a
+    window's block is the anchor's distance from its start, divided by ``width``.
+    """
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for b in range((at - more) // width, at // width + 1):
+        near, far = b * width, min((b + 1) * width, LENGTH - GRAM + 1) - 1
+        first, last = at - min(at, far), at - max(at - more, near)
+        core, own = ctx[at - near : at - far + LENGTH], ctx[first : last + LENGTH]
+        place = at - first
+        yield signed(xxhash.xxh64_intdigest(core, b)), signed(xxhash.xxh64_intdigest(own, place)), u, lo + first, last - first, place, own
+
+
+def as_batches(rows, names, types, most: int = 4_000_000):
+    """Batches of rows whose last column, of bytes, decides their size."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[-1]) + 40
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names=names)
+
+
+def blocks(rows: DataFrame, width: int) -> DataFrame:
+    """The blocks of ``width`` windows of rows (u, lo, more, at, ctx)."""
+
+    def run(batches):
+        for batch in batches:
+            each = zip(*(batch.column(i).to_pylist() for i in range(5)))
+            yield from as_batches((b for row in each for b in blocks_of(*row, width)), _NAMES, _TYPES)
+
+    return rows.select("u", "lo", "more", "at", "ctx").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def first_of_each(rows: DataFrame, keys: list[str], rest: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """The first row (by u, lo) of each kind, and the windows (u, lo, hi) of all others, which are copies of it."""
+    firsts = rows.groupBy(*keys).agg(F.min(F.struct("u", "lo", *rest)).alias("f"), F.count("*").alias("n"))
+    firsts = scratch.keep(firsts.select(*keys, "f.*", "n"), f"{name}-firsts")
+    several = firsts.where("n > 1").select(*keys, F.col("u").alias("fu"), F.col("lo").alias("flo"))
+    others = rows.join(several.hint("shuffle_hash"), keys).where("u <> fu or lo <> flo")
+    copies = others.select("u", "lo", (F.col("lo") + F.col("more")).alias("hi"))
+    return firsts.drop("n"), scratch.keep(copies, f"{name}-copies")
+
+
+def narrowed(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Blocks that fit shards (shard, u, lo, ctx), and repeated windows found on the way, of blocks of the first width."""
+    fit, copies = [], []
+    for level, width in enumerate(WIDTHS):
+        firsts, others = first_of_each(rows, ["key", "s"], ["more", "at", "ctx"], scratch, f"level-{level}")
+        copies.append(others)
+        kinds = firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")  # one window: always one kind
+        firsts = firsts.join(kinds, "key")
+        fit.append(firsts.where(F.col("kinds") <= VARIANTS).select(F.col("key").alias("shard"), "u", "lo", "ctx"))
+        if width == 1:
+            break
+        rows = scratch.keep(blocks(firsts.where(F.col("kinds") > VARIANTS), WIDTHS[level + 1]), f"level-{level + 1}")
+        if rows.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, fit), copies
 
 
 # --- the whole -------------------------------------------------------------------------------------
@@ -290,54 +366,44 @@ def shard_repeats(edges: DataFrame) -> DataFrame:
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(u, spans): for each document of ``rows`` (u, text) that loses bytes, runs [lo, hi] of repeated windows."""
-    spark = rows.sparkSession
-    scratch = Scratch(spark)
-    runs = scratch.keep(occurrences(rows), "runs").select("u", F.explode(F.arrays_zip("h", "c", "lo", "more")).alias("r")).select("u", "r.*")
+    scratch = Scratch(rows.sparkSession)
+    runs = scratch.keep(occurrences(rows), "runs")
+    runs = runs.select("u", F.explode(F.arrays_zip("h", "c", "lo", "more", "at")).alias("r")).select("u", "r.*")
     counted = scratch.keep(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "counted")
-    release(spark)
     hits = scratch.keep(runs.join(counted.hint("shuffle_hash"), "h"), "hits")
-    scratch.drop("runs")
-    release(spark)
-    firsts = hits.groupBy("h", "c").agg(F.min(F.struct("u", "lo", "more")).alias("f"), F.count("*").alias("n"))
-    firsts = scratch.keep(firsts.select("h", "c", "f.*", "n"), "firsts")
-    copied = hits.join(firsts.where("n > 1").select("h", "c", F.col("u").alias("fu"), F.col("lo").alias("flo")).hint("shuffle_hash"), ["h", "c"])
-    copied = scratch.keep(copied.where("u <> fu or lo <> flo").select("u", "lo", (F.col("lo") + F.col("more")).alias("hi")), "copied")
+    scratch.drop("runs", "counted")
+    firsts, copied = first_of_each(hits, ["h", "c"], ["more", "at"], scratch, "runs")
     scratch.drop("hits")
-    release(spark)
 
     # the edges: first occurrences of anchors with several surroundings
     spread = firsts.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1")
-    parts = F.ceil(F.col("variants") / VARIANTS).cast("int")
-    edge = firsts.join(spread, "h").select("u", "lo", "more", F.xxhash64("h", F.pmod(F.xxhash64("c"), parts)).alias("shard"), (parts > 1).alias("split"))
-    wanted = scratch.keep(edge.groupBy("u").agg(F.collect_list(F.struct("lo", "more", "shard", "split")).alias("e")), "wanted")
-    release(spark)
+    edge = firsts.join(spread, "h").select("u", "lo", "more", "at", "h", (F.col("variants") > VARIANTS).alias("hot"))
+    wanted = scratch.keep(edge.groupBy("u").agg(F.collect_list(F.struct("lo", "more", "at", "h", "hot")).alias("e")), "wanted")
     texts = rows.select("u", "text").join(wanted.hint("shuffle_hash"), "u")
 
     def contexts(batches):
-        names = ["shard", "u", "lo", "split", "ctx"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-        for batch in batches:
-            out, size = [[] for _ in names], 0
+        def each(batch):
             for u, t, e in zip(*(batch.column(i) for i in range(3))):
-                raw = t.as_buffer().to_pybytes()
+                raw, u = t.as_buffer().to_pybytes(), u.as_py()
                 for x in e.as_py():
-                    for o, v in zip(out, (x["shard"], u.as_py(), x["lo"], x["split"], raw[x["lo"] : x["lo"] + x["more"] + LENGTH])):
-                        o.append(v)
-                    size += x["more"] + LENGTH
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, types)], names=names)
-                    out, size = [[] for _ in names], 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, types)], names=names)
-
-    gathered = texts.mapInArrow(contexts, "shard long, u long, lo int, split boolean, ctx binary")
-    solved = scratch.keep(shard_repeats(gathered.repartition("shard").sortWithinPartitions("shard", "u", "lo")), "solved")
-    release(spark)
-    inside = solved.where("gram is null").select("u", "lo", "hi")
-    grams = solved.where("gram is not null")
-    lead = grams.groupBy("gram").agg(F.min(F.struct("u", "lo")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    across = grams.join(lead, "gram").where("u <> f.u or lo <> f.lo").select("u", "lo", "hi")
-    spans = copied.unionByName(inside).unionByName(across)
+                    ctx = raw[x["lo"] : x["lo"] + x["more"] + LENGTH]
+                    if x["hot"]:
+                        for b in blocks_of(u, x["lo"], x["more"], x["at"], ctx, WIDTHS[0]):
+                            yield True, *b
+                    else:
+                        yield False, x["h"], 0, u, x["lo"], x["more"], x["at"], ctx
+
+        for batch in batches:
+            yield from as_batches(each(batch), ["hot", *_NAMES], [pa.bool_(), *_TYPES])
+
+    gathered = scratch.keep(texts.mapInArrow(contexts, f"hot boolean, {BLOCK_SCHEMA}"), "gathered")
+    hot = gathered.where("hot").drop("hot")
+    shards, found = gathered.where("not hot").select(F.col("key").alias("shard"), "u", "lo", "ctx"), [copied]
+    if not hot.isEmpty():
+        more_shards, more_found = narrowed(hot, scratch)
+        shards, found = shards.unionByName(more_shards), found + more_found
+    solved = scratch.keep(shard_repeats(shards.repartition("shard").sortWithinPartitions("shard", "u", "lo")), "solved")
+    spans = reduce(DataFrame.unionByName, [*found, solved])
     return scratch.keep(spans.groupBy("u").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
@@ -356,7 +422,6 @@ def strip_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     """(key, sx_kept, n_bytes, n_removed, n_spans): what is left of each text, as bytes."""
     rows = numbered(docs, key=key, text=text)
     spans = repeated_spans(rows)
-    release(docs.sparkSession)
     rows = rows.join(spans.hint("shuffle_hash"), "u", "left").select("key", "text", "spans")
 
     def run(batches):

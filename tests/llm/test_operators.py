@@ -356,7 +356,7 @@ def test_repeats(spark, sf, docs):
     assert got == {k: v for (k, _), v in want.items()}
 
 
-@pytest.mark.parametrize(("variants", "shard"), [(500, 1_000_000), (3, 2000)])
+@pytest.mark.parametrize(("variants", "shard"), [(2000, 1_000_000), (500, 1_000_000), (3, 2000), (1, 2000)])
 def test_repeats_planted(spark, monkeypatch, variants, shard):
     monkeypatch.setattr(suffix, "VARIANTS", variants)
     monkeypatch.setattr(suffix, "SHARD", shard)
@@ -373,6 +373,7 @@ def test_repeats_planted(spark, monkeypatch, variants, shard):
     rows += [(100 + i, sentence(r.randrange(30)) + " " + passage + " " + sentence(r.randrange(30)) + line) for i in range(30)]
     rows += [(200, "ab" * 400), (201, "ab" * 90), (202, "x" * 99), (203, "x" * 100), (204, passage), (205, ""), (206, "é漢" * 120)]
     rows += [(207, rows[3][1]), (208, rows[3][1]), (208, rows[3][1])]
+    rows += [(300 + i, word() * r.randrange(1, 9) + passage[:130] + sentence(8)) for i in range(40)]  # ends of a passage, cut inside words
     df = documents(spark, [(k, t, None) for k, t in rows])
     out = suffix.strip_repeats(df.repartition(3)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("sx_kept", 256).alias("h")).collect()
     want = brute_repeats(sorted(rows, key=lambda x: x[0]))
