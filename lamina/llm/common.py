@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import bisect
 import contextlib
 import re
 import shutil
@@ -83,6 +84,12 @@ class Scratch:
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of those names, in any case, which results of the same names replace."""
+    taken = {n.lower() for n in names}
+    return df.select(*(f"`{c}`" for c in df.columns if c.lower() not in taken))
+
+
 def widened(df: DataFrame, more: dict[str, str]) -> T.StructType:
     """The schema of ``df`` and further columns."""
     extra = T.DataType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in more.items()))
@@ -190,6 +197,33 @@ def text_blocks(column, max_bytes: int = 2_000_000):
         yield first, block
 
 
+# --- spans of a text -----------------------------------------------------------------------------
+
+
+class Taken:
+    """Places of a text that are taken, as disjoint intervals in order; asked and added to by binary search."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for a, b in sorted((s[0], s[1]) for s in spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        """Whether [a, b) has a place in common with an interval."""
+        i = bisect.bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        """An interval that meets no other."""
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 # --- connected components -----------------------------------------------------------------------
 
 

@@ -10,8 +10,10 @@ shape its features while trees are fitted; calibration uses out-of-fold scores.
 is scored.
 
 Defined results. Null or empty text: features of an empty text, a score like any other. Labels for
-unknown documents or null labels: not used. Too few labels, or of one kind only: every
-score is 0. Repeated rows are scored alike. Empty table: empty result.
+unknown documents, null labels and null ids: not used; a null id is not held out. An id with
+several labels: the greatest; with several texts: the first in order. Too few labels, or of one
+kind only: every score is 0. Repeated rows are scored alike. Empty table: empty result. A column
+named like the score is replaced by it; others are passed on.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from itertools import accumulate
 from collections import Counter
 
 import numpy as np
@@ -27,15 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.boost import Boosted, fit
-from lamina.llm.common import documents, widened
+from lamina.llm.common import cut, documents, widened, without
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 6000  # labelled rows to fit with, about
+TRAIN_BYTES = 16_000_000  # and of their texts
 HELD_OUT = 2
 STEMS = (4, 5, 6)
 LEXICON = 4000
 WINDOW = 24
 _WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
 _ODD = re.compile(r"[^\W\d_][@$0134578!*]{1,3}[^\W\d_]|(?<!\S)[@$0134578][^\W\d_]{3}", re.UNICODE)
+_BLANK = re.compile(r"\s")
 _SPLIT = re.compile(r"(?:[^\W\d_][.\-*_]){3,}[^\W\d_]", re.UNICODE)
 _PLAIN = str.maketrans("@$0134578!", "asoieastbi")
 SECOND = frozenset("you your yours you're u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre tú ti usted vosotros".split())
@@ -99,14 +104,14 @@ def features(text: str, lexicon: dict[str, float], memo: dict[str, float]) -> li
     else:
         dense = near = 0.0
     second = sum(x in SECOND for x in words) / max(n, 1)
-    odd, done = 0, -1
+    odd, done = 0, 0
     for m in _ODD.finditer(low):
         if m.start() < done:
             continue
-        a = max(low.rfind(c, max(0, m.start() - 40), m.start()) for c in " \n\t") + 1
-        s = re.split(r"\s", low[max(a, m.start() - 40) : m.end() + 40])[0].strip(".,;:?!\"'()")
-        done = m.start() + len(s)
-        p = s.translate(_PLAIN)
+        a = max(done, *(low.rfind(c, done, m.start()) + 1 for c in " \n\t\r\f\v"))  # from the last blank
+        blank = _BLANK.search(low, m.end())
+        done = blank.start() if blank else len(low)
+        p = low[a:done].strip(".,;:?!\"'()").translate(_PLAIN)
         odd += p in lexicon or any(p[:k] + "*" in lexicon for k in STEMS if len(p) >= k)
     for m in _SPLIT.finditer(low):
         odd += re.sub(r"[.\-*_]", "", m.group()) in lexicon
@@ -140,17 +145,31 @@ def train(rows: list[tuple[str, int]], trees: int = 60) -> tuple[Boosted | None,
     return fit(x, np.concatenate(labels), trees=trees), learn_lexicon(words, y)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS) -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows outside the held-out part, by a hash of the key; one row a key."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> list[tuple[str, int]]:
+    """A bounded sample of labelled rows outside the held-out part, by a hash of the key; one row a key.
+
+    A count of keys says which share of the hashes to take, so that no task merges candidates; texts
+    come in order of the hash until their bytes reach the bound.
+    """
     asked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y"))
-    asked = asked.where(F.crc32(F.col("k").cast("string").cast("binary")) % 4 != HELD_OUT).groupBy("k").agg(F.max("y").alias("y"))
-    asked = asked.orderBy(F.xxhash64("k", F.lit("toxic")), "k").limit(most)  # most narrow rows at the driver's merge
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(asked), "k")  # at most ``most`` rows
-    return [(r.t or "", int(r.y)) for r in found.orderBy(F.xxhash64("k", F.lit("part")), "k", "t").toLocalIterator()]
+    asked = asked.where(F.crc32(F.col("k").cast("string").cast("binary")) % 4 != HELD_OUT)
+    keys = asked.agg(F.approx_count_distinct("k", 0.02)).first()[0]
+    turn = F.pmod(F.xxhash64("k", F.lit("toxic")), F.lit(10**15))
+    asked = asked.where(turn < math.ceil(min(1.0, most / max(keys, 1)) * 10**15)).groupBy("k").agg(F.max("y").alias("y"))
+    found = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(asked), "k")  # about ``most`` rows
+    found = cut(found.groupBy("k", "y").agg(F.min("t").alias("t")).withColumn("turn", F.xxhash64("k", F.lit("part"))))
+    sizes = sorted(tuple(r) for r in found.select("turn", "k", F.octet_length("t")).collect())
+    fits = sum(total <= most_bytes for total in accumulate(n for _, _, n in sizes))
+    if not fits:
+        return []
+    last = sizes[fits - 1][:2]
+    rows = found.where(F.struct("turn", "k") <= F.struct(F.lit(last[0]).alias("turn"), F.lit(last[1]).alias("k")))
+    return [(r.t, int(r.y)) for r in sorted(rows.collect(), key=lambda r: (r.turn, r.k))]
 
 
 def score(rows: DataFrame, model: Boosted | None, lexicon: dict[str, float], *, text: str = "text", column: str = "tox_score") -> DataFrame:
     """``rows`` without the text, with the probability of toxic."""
+    rows = without(rows, column)
     at = rows.columns.index(text)
     shared = rows.sparkSession.sparkContext.broadcast((model, lexicon))  # LEXICON words and the trees
 
@@ -171,7 +190,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model, lexicon = train(training_rows(docs, labels))
     out = score(docs, model, lexicon)
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.3).cast("int").alias("predicted"))
 
 
