@@ -4,13 +4,15 @@ Overlapping heuristic labellers vote good, bad or abstain on every document. How
 trusted is estimated without any labels by expectation-maximisation over a latent class: the votes
 of the whole corpus enter as counts of vote patterns, of which there are at most 3**labellers, so
 the driver holds a bounded table however large the corpus is. The posterior of each pattern then
-labels a bounded sample of documents (``sample`` rows, chosen by a hash), on which a hashed linear
+labels a bounded sample of texts (about ``sample``, chosen by a hash of the text), on which a hashed linear
 scorer is trained: runs of character classes hashed to ``DIMS`` weights, averaged over the text,
 and hashed levels of repetition. The scorer judges every whole text.
 
 Defined results. Null or empty text: every labeller but that of length abstains, the scorer sees
 its bias and the length feature; such documents are judged like any other. Empty table: empty
-result. Repeated rows are judged alike. Columns with clashing names are kept as they are.
+result. Repeated rows are judged alike, and the sample has a text once. ``keep_good`` passes all
+columns on, whatever their names; where ``judge`` adds a column of a name that is taken, its own
+replaces the other.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import documents, prefix_hash, span_hash, text_blocks, widened, word_spans
+from lamina.llm.common import documents, prefix_hash, span_hash, text_blocks, widened, without, word_spans
 
 DIMS = 4096
 SAMPLE = 3000
@@ -174,7 +176,7 @@ def score(p: Profile, w: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, dict[int, float], np.ndarray]:
+def fit(docs: DataFrame, *, text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, dict[int, float], np.ndarray]:
     """Scorer weights, pattern posteriors and labellers' vote rates for a corpus."""
 
     def vote(batches):
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int
     posterior, rates, _ = estimate(counts)
     total = sum(counts.values())
     share = min(1.0, sample / max(total, 1))
-    chosen = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("quality")), F.lit(10**15)) < math.ceil(share * 10**15)
+    chosen = F.pmod(F.xxhash64("t", F.lit("quality")), F.lit(10**15)) < math.ceil(share * 10**15)
 
     def example(batches):
         for batch in batches:
@@ -198,7 +200,8 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int
                     xs.append(hashed(p).astype(np.float16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ps, pa.int32())], names=["x", "p"])
 
-    rows = docs.where(chosen).select(F.col(text).alias("t")).mapInArrow(example, "x binary, p int").collect()
+    texts = docs.select(F.col(text).alias("t")).where(chosen).distinct()  # of a text that a third of the rows share, one
+    rows = texts.mapInArrow(example, "x binary, p int").collect()
     if not rows:
         return np.zeros(DIMS + 1, np.float32), posterior, rates
     x = np.frombuffer(b"".join(bytes(r[0]) for r in rows), dtype=np.float16).reshape(len(rows), DIMS).astype(np.float32)
@@ -207,6 +210,8 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int
 
 def judge(rows: DataFrame, w: np.ndarray, posterior: dict[int, float], *, text: str = "text", threshold: float = 0.5, drop_text: bool = True) -> DataFrame:
     """``rows`` with q_votes (one digit a labeller), q_posterior, q_score and q_kept."""
+    names = ["q_votes", "q_posterior", "q_score", "q_kept"]
+    rows = without(rows, *names)
     at = rows.columns.index(text)
     base = rows.drop(text) if drop_text else rows
     kept = [i for i, c in enumerate(rows.columns) if not (drop_text and i == at)]
@@ -224,14 +229,20 @@ def judge(rows: DataFrame, w: np.ndarray, posterior: dict[int, float], *, text:
             new = [pa.array(v, pa.string()), pa.array(post, pa.float64()), pa.array(s, pa.float64()), pa.array([x >= threshold for x in s], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *new], names=[*(batch.schema.names[i] for i in kept), *names])
 
-    names = ["q_votes", "q_posterior", "q_score", "q_kept"]
     return rows.mapInArrow(run, widened(base, dict(zip(names, ["string", "double", "double", "boolean"]))))
 
 
-def keep_good(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, *, text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """The documents that the scorer accepts, columns unchanged."""
-    w, posterior, _ = fit(docs, key=key, text=text, sample=sample)
-    return judge(docs, w, posterior, text=text, threshold=threshold, drop_text=False).where("q_kept").select(*docs.columns)
+    w, _, _ = fit(docs, text=text, sample=sample)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            good = [score(profile(t), w) >= threshold for _, block in text_blocks(batch.column(at)) for t in block]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
