@@ -10,9 +10,10 @@ meets its target. Which documents of a cell get the extra copy is decided by a h
 through ranks within salted parts of the cell, so that a hot cell never meets in one task.
 
 Defined results. Null text: size 0. Null source: a source of its own, last. Documents of size 0
-keep one copy and count nothing. Repeated rows are separate documents. An empty table gives an
-empty result. Columns of the input with clashing names stay as they are; the operator's own
-columns start with ``mix_``.
+keep one copy and count nothing. Repeated rows are separate documents; ties of a key are ordered by
+the text, and which of two equal rows has the extra copy makes no difference. An empty table gives
+an empty result. Columns of the input may have any name: ``mixed_rows`` passes all on, and where
+``mix`` adds a column of a name that is taken, its own replaces the other.
 """
 
 from __future__ import annotations
@@ -87,10 +88,12 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, cap: int = 2, tolerance: f
         if (state.agg(F.max("error")).first()[0] or 0.0) <= tolerance:
             break
         state = state.drop("error")
+    else:
+        raise RuntimeError("tilts did not settle")
     return state.drop("error", "lo", "hi")
 
 
-def round_cells(cells: DataFrame, state: DataFrame, cap: int = 2, tolerance: float = 2e-4, max_rounds: int = 12) -> DataFrame:
+def round_cells(cells: DataFrame, state: DataFrame, cap: int = 2, tolerance: float = 2e-4, max_rounds: int = 100) -> DataFrame:
     """Whole copies ``k`` for each cell of ``n`` documents, so that each source comes to its target."""
     x = cells.join(state.drop("docs", "least").withColumnRenamed("mix_source", "s"), F.col("mix_source").eqNullSafe(F.col("s"))).drop("s")
     down = Window.partitionBy("mix_source").orderBy(F.col("mix_size").desc())
@@ -116,16 +119,23 @@ def round_cells(cells: DataFrame, state: DataFrame, cap: int = 2, tolerance: flo
         if best.isEmpty():
             break
         x = cut(x.join(best, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("mix_size") == F.col("z")), "left").withColumn("k", F.col("k") + F.coalesce("move", F.lit(0))).drop("s", "z", "move"))
+    else:
+        raise RuntimeError("whole copies did not settle")
     return x
 
 
-def mix(rows: DataFrame, narrow: DataFrame | None = None, *, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
-    """``rows`` with mix_size, mix_source_size, mix_target, mix_copies and mix_taken (copies times size).
+OWN = ("mix_source", "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 
-    ``narrow``, if given, is ``sized(rows)`` made beforehand, and the result has its columns.
-    """
-    wide = sized(rows, key=key, source=source, text=text) if narrow is None else narrow
-    thin = cut(sized(rows, key=key, source=source, text=text).select("mix_source", "mix_size", "mix_hash")) if narrow is None else narrow
+
+def mix(rows: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
+    """``rows`` with mix_source, mix_size, mix_source_size, mix_target, mix_copies and mix_taken (copies times size)."""
+    thin = cut(sized(rows, key=key, source=source, text=text).drop("mix_row"))
+    out = mixed(sized(rows, key=key, source=source, text=text), thin, weights, share, cap)
+    return out.select(*(F.col("mix_row")[c].alias(c) for c in rows.columns if c.lower() not in OWN), *OWN)
+
+
+def mixed(wide: DataFrame, thin: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
+    """``wide`` (mix_source, mix_size, mix_hash and more, as of ``sized``) with the result; ``thin`` has these three of all rows."""
     n = thin.count()
     cells = cut(thin.groupBy("mix_source", "mix_size").agg(F.count("*").alias("n")))
     state = solve_tilts(cells, source_targets(cells, weights, share, cap), cap)
@@ -134,34 +144,45 @@ def mix(rows: DataFrame, narrow: DataFrame | None = None, *, key: str = "doc_id"
     # A cell's parts: as many as the square root of the corpus, so that neither parts nor their lists grow faster.
     parts = max(1, math.isqrt(n))
     part = F.pmod("mix_hash", F.lit(parts)).cast("int")
+    source_key = F.coalesce(F.concat(F.lit("s"), "mix_source"), F.lit("-")).alias("mix_key")
     counted = thin.withColumn("mix_part", part).groupBy("mix_source", "mix_size", "mix_part").agg(F.count("*").alias("n"))
-    plan = counted.withColumnsRenamed({"mix_source": "s", "mix_size": "z"}).join(copies, F.col("s").eqNullSafe(F.col("mix_source")) & (F.col("z") == F.col("mix_size"))).drop("s", "z")
+    same_cell = F.col("s").eqNullSafe(F.col("mix_source")) & (F.col("z") == F.col("mix_size"))
+    plan = counted.withColumnsRenamed({"mix_source": "s", "mix_size": "z"}).join(copies, same_cell).drop("s", "z")
     upto = F.sum("n").over(Window.partitionBy("mix_source", "mix_size").orderBy("mix_part"))
     extra = F.col("k") % F.col("docs")
-    plan = plan.withColumn("extras", F.greatest(F.lit(0), F.least(F.col("n"), extra - (upto - F.col("n"))))).withColumn("base", F.floor(F.col("k") / F.col("docs")))
-    plan = plan.select(F.coalesce(F.concat(F.lit("s"), "mix_source"), F.lit("-")).alias("mix_key"), "mix_size", "mix_part", "base", "extras", "mix_source_size", "mix_target")
+    extras = F.greatest(F.lit(0), F.least(F.col("n"), extra - (upto - F.col("n")))).alias("mix_extras")
+    base = F.floor(F.col("k") / F.col("docs")).alias("mix_base")
+    plan = plan.select(source_key, "mix_size", "mix_part", base, extras, "mix_source_size", "mix_target")
     keys = ["mix_key", "mix_size", "mix_part"]
-    ranked = wide.withColumns({"mix_key": F.coalesce(F.concat(F.lit("s"), "mix_source"), F.lit("-")), "mix_part": part})
+    ranked = wide.select("*", source_key, part.alias("mix_part"))
     ranked = ranked.withColumn("mix_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("mix_hash")))
     out = ranked.join(plan, keys)
-    out = out.withColumn("mix_copies", (F.col("base") + (F.col("mix_rank") <= F.col("extras")).cast("int")).cast("int"))
-    return out.withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size")).drop("mix_key", "mix_part", "mix_rank", "mix_hash", "base", "extras")
+    out = out.withColumn("mix_copies", (F.col("mix_base") + (F.col("mix_rank") <= F.col("mix_extras")).cast("int")).cast("int"))
+    out = out.withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
+    return out.drop("mix_key", "mix_part", "mix_rank", "mix_hash", "mix_base", "mix_extras")
 
 
 def sized(rows: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    return rows.withColumns({"mix_source": F.col(source).cast("string"), "mix_size": word_count(F.col(text)), "mix_hash": F.xxhash64(F.col(key), F.lit("mix"))})
+    """(mix_row, mix_source, mix_size, mix_hash): all columns of ``rows`` in one, so that no names clash."""
+    return rows.select(
+        F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("mix_row"), F.col(source).cast("string").alias("mix_source"),
+        word_count(F.col(text)).alias("mix_size"), F.xxhash64(F.col(key), F.col(text), F.lit("mix")).alias("mix_hash"),
+    )
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **options).where("mix_copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    wide = sized(docs, key=key, source=source, text=text)
+    out = mixed(wide, cut(wide.drop("mix_row")), weights, share, cap).where("mix_copies > 0")
+    return out.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("mix_row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    narrow = cut(sized(docs).select("doc_id", "mix_source", "mix_size", "mix_hash"))
-    return mix(docs, narrow).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").cast("long").alias("taken"), F.col("mix_copies").alias("copies"))
+    narrow = sized(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    narrow = cut(narrow.select(F.col("mix_row.doc_id").alias("doc_id"), "mix_source", "mix_size", "mix_hash"))
+    names = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_copies": "copies"}
+    out = mixed(narrow, narrow).withColumnsRenamed(names)
+    return out.select("doc_id", "size", "source_size", "target", F.col("mix_taken").cast("long").alias("taken"), "copies")
 
 
 QUERIES = {"op1_mix_sources": op1_mix_sources}
