@@ -9,8 +9,9 @@ The training set is made from templates by a fixed seed: its size is a parameter
 no part in it. Candidates that overlap a base span or a better candidate are dropped.
 
 Defined results. Null text: no spans. Empty tables: empty results. Repeated rows are scanned each.
-Matching is linear in a text's length, so long texts need no cut. Clashing column names: results
-are appended under the names given.
+Matching is linear in a text's length, but for a binary search for each candidate, so long texts
+need no cut. Candidates of equal probability: the longer, then the earlier one. ``redact`` adds no
+column; where ``scan`` adds one of a name that is taken, its own replaces the other.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.boost import Boosted, fit
-from lamina.llm.common import documents, widened
+from lamina.llm.common import Taken, documents, widened, without
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("number", "spelled", "national", "account", "ip6")
@@ -188,14 +189,16 @@ def model(rows: int = TRAIN_ROWS, precision: float = PRECISION, seed: int = 20)
 def find(text: str, trees: Boosted, thresholds: tuple[float, ...]) -> tuple[list, list]:
     """(base spans, added spans) of a text."""
     base = base_spans(text)
-    asked = [c for c in proposals(text) if not any(c[0] < b[1] and b[0] < c[1] for b in base)]
+    taken = Taken(base)
+    asked = [c for c in proposals(text) if not taken.meets(c[0], c[1])]
     if not asked:
         return base, []
     p = trees.predict(np.array([features(text, *c) for c in asked]))
     added: list[tuple[int, int, str]] = []
     for i in sorted(range(len(asked)), key=lambda i: (-p[i], asked[i][0] - asked[i][1], asked[i][0])):
         a, b, kind = asked[i]
-        if p[i] >= thresholds[EXTRA.index(kind)] and not any(a < y and x < b for x, y, _ in added):
+        if p[i] >= thresholds[EXTRA.index(kind)] and not taken.meets(a, b):
+            taken.add(a, b)
             added.append(asked[i])
     return base, added
 
@@ -206,6 +209,8 @@ def joined(spans, kinds=KINDS) -> str:
 
 def scan(rows: DataFrame, *, text: str = "text") -> DataFrame:
     """``rows`` without the text, with counts and spans of personal data (columns pii_*)."""
+    names = [f"pii_{k}" for k in (*BASE, "base_sha256", "spans")]
+    rows = without(rows, *names)
     at = rows.columns.index(text)
     trees, thresholds = model()
 
@@ -222,7 +227,6 @@ def scan(rows: DataFrame, *, text: str = "text") -> DataFrame:
             new = [pa.array(out[k], pa.int64()) for k in BASE] + [pa.array(out[k], pa.string()) for k in ("base", "all")]
             yield pa.RecordBatch.from_arrays([*thin.columns, *new], names=[*thin.schema.names, *names])
 
-    names = [f"pii_{k}" for k in (*BASE, "base_sha256", "spans")]
     return rows.mapInArrow(run, widened(rows.drop(text), dict(zip(names, ["long"] * 4 + ["string"] * 2))))
 
 

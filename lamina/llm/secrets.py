@@ -10,7 +10,9 @@ Here a repository is a document's ``source``; an owner is a document by its cont
 copies of a file are one owner. Both columns are parameters.
 
 Defined results. Null text: no spans. A null repository is one of its own. Repeated rows are
-scanned each. Empty table: empty result. Matching is linear in a text's length.
+scanned each and are one owner. Empty table: empty result. Matching is linear in a text's length,
+but for a binary search for each span. A column named like one of the result (s_assign, s_access,
+s_hex, s_base_sha256, s_spans, s_live, s_example) is replaced by it; others are passed on.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import cut, documents, widened
+from lamina.llm.common import Taken, cut, documents, widened, without
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "key")
@@ -53,11 +55,11 @@ def added_candidates(text: str, base: list) -> list[tuple[int, int, str, str]]:
     """Long tokens that look random, outside base spans."""
     if not any(len(w) >= 20 for w in text.split()):
         return []
-    out = []
+    out, taken = [], Taken(base)
     for m in _LONG.finditer(text):
         s = m.group()
         mixed = any(c.isdigit() for c in s) and any(c.islower() for c in s) and any(c.isupper() for c in s) and len(set(s)) >= 12
-        if (mixed or _PREFIX.match(s)) and not any(m.start() < b[1] and b[0] < m.end() for b in base):
+        if (mixed or _PREFIX.match(s)) and not taken.meets(m.start(), m.end()):
             out.append((m.start(), m.end(), "key", s))
     return out
 
@@ -66,8 +68,12 @@ def joined(spans, kinds=KINDS) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(((s[0], s[1], s[2]) for s in spans), key=lambda s: (s[0], kinds.index(s[2]), s[1])))
 
 
+OWN = ("s_assign", "s_access", "s_hex", "s_base_sha256", "s_owner", "s_found", "s_row", "s_repository", "s_spans", "s_live", "s_example")
+
+
 def scan(rows: DataFrame, *, text: str = "text") -> DataFrame:
     """``rows`` without the text, with base counts, spans and all candidates with hashes of their values."""
+    rows = without(rows, *OWN)
     at = rows.columns.index(text)
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64())])
     names = ["s_assign", "s_access", "s_hex", "s_base_sha256", "s_owner", "s_found"]
@@ -94,7 +100,7 @@ def scan(rows: DataFrame, *, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, widened(rows.drop(text), dict(zip(names, kinds))))
 
 
-def ownership(scanned: DataFrame, *, repository: str = "source") -> DataFrame:
+def ownership(scanned: DataFrame, *, repository: str = "s_repository") -> DataFrame:
     """(value, repos, owners, example): how widely each candidate value is spread.
 
     Distinct pairs are counted after partial aggregation, so a value copied into a third of the
@@ -108,8 +114,10 @@ def ownership(scanned: DataFrame, *, repository: str = "source") -> DataFrame:
 
 def classify(rows: DataFrame, *, text: str = "text", repository: str = "source") -> DataFrame:
     """``rows`` without the text, with base results, s_spans (base and live added ones), s_live and s_example."""
-    scanned = cut(scan(rows, text=text).withColumn("s_row", F.monotonically_increasing_id()))
-    spread = cut(ownership(scanned, repository=repository).select("value", "example"))
+    repo = rows.schema[repository].name
+    scanned = scan(without(rows, *(n for n in OWN if n != repo)), text=text)
+    scanned = cut(scanned.withColumns({"s_row": F.monotonically_increasing_id(), "s_repository": F.col(repo).cast("string")}))
+    spread = cut(ownership(scanned).select("value", "example"))
     hits = scanned.where(F.size("s_found") > 0).select("s_row", F.explode("s_found").alias("f"))
     hits = hits.select("s_row", "f.*").join(spread, "value")
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
@@ -123,7 +131,7 @@ def classify(rows: DataFrame, *, text: str = "text", repository: str = "source")
     per = per.select("s_row", spans.alias("s_spans"), "s_live", "s_example")
     out = scanned.join(per, "s_row", "left")
     filled = {"s_spans": F.coalesce("s_spans", F.lit("")), "s_live": F.coalesce("s_live", F.lit(0)), "s_example": F.coalesce("s_example", F.lit(0))}
-    return out.withColumns(filled).drop("s_row", "s_found", "s_owner")
+    return out.withColumns(filled).drop("s_row", "s_found", "s_owner", "s_repository")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
