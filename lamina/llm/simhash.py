@@ -12,7 +12,11 @@ hands on a spanning forest of its links, not all pairs.
 
 Defined results. Null or wordless text: fingerprint zero, linked like any other. Fewer words than
 a shingle: one shingle of all. Repeated rows each get a result; a component's id is its smallest
-doc_id, null doc_ids last. An empty table gives an empty result. Other columns play no part.
+doc_id, null doc_ids last. An empty table gives an empty result. Other columns play no part; one
+named like a column of the result (sh_fp, sh_root, component_id) is replaced by it.
+
+``keep_first`` passes all columns on, whatever their names. All texts without words are alike, so
+one of them stays.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm.common import components, cut, documents, forest, mix64, shingle_hashes, text_blocks, widened, word_hashes
+from lamina.llm.common import components, cut, documents, forest, mix64, shingle_hashes, text_blocks, widened, without, word_hashes
 
 BLOCKS = (13, 13, 13, 13, 12)  # bits of each block
 PIVOTS = 16
@@ -61,6 +65,7 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(rows: DataFrame, *, text: str = "text", column: str = "sh_fp", shingle: int = 3) -> DataFrame:
     """``rows`` with the signed 64-bit fingerprint of their text in place of the text."""
+    rows = without(rows, column)
     at = rows.columns.index(text)
 
     def run(batches):
@@ -178,6 +183,7 @@ def links(groups: DataFrame, radius: int = 3, *, words: int | None = None, simil
 
 def clusters(prints: DataFrame, *, key: str = "doc_id", radius: int = 3) -> DataFrame:
     """``prints`` (key, sh_fp) with component_id, the smallest key reachable through links, and sh_root, its smallest fingerprint."""
+    prints = without(prints, "sh_root", "component_id")
     nodes = cut(prints.groupBy(F.col("sh_fp").alias("fp")).agg(F.min(key).alias("least")))
     found = components(links(candidate_groups(nodes.select("fp"), radius), radius))
     roots = cut(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
@@ -275,11 +281,11 @@ def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id", simi
 
     Near copies resemble each other by ``similarity`` or more in their sets of five-word shingles.
     Wide fingerprints tell what may belong together, in components of which the shingles are then
-    read again; only pairs whose sets resemble each other are linked. The choice is made on narrow rows; the wide rows are read again and joined to
-    what is kept. Of repeated rows one stays.
+    read again; only pairs whose sets resemble each other are linked. The choice is made on narrow
+    rows; the wide rows are read again and joined to what is kept. Of repeated rows one stays.
     """
-    names = {"sh_a": F.xxhash64(F.col(key), F.col(text)), "sh_b": F.hash(F.col(text))}  # together a row's identity
-    rows = docs.withColumns(names).select(F.col(key).alias("sh_key"), "sh_a", "sh_b", F.col(text).alias("sh_text"))
+    a, b = F.xxhash64(F.col(key), F.col(text)).alias("sh_a"), F.hash(F.col(text)).alias("sh_b")  # together a row's identity
+    rows = docs.select(F.col(key).alias("sh_key"), a, b, F.col(text).alias("sh_text"))
     prints = cut(wide_prints(rows, text="sh_text"))
     keyed = prints.select("node", "sh_fp", F.explode("sh_keys").alias("key")).groupBy("key", "node").agg(F.first("sh_fp").alias("fp"))
     radius = radius_of(similarity)
@@ -292,8 +298,8 @@ def keep_first(docs: DataFrame, *, text: str = "text", key: str = "doc_id", simi
     first = F.min(F.struct(F.col("sh_key").isNull(), "sh_key", "sh_a", "sh_b")).alias("m")
     nodes = prints.groupBy("node").agg(first).join(found, "node", "left")
     kept = cut(nodes.groupBy(F.coalesce("root", "node")).agg(F.min("m").alias("m")).select("m.sh_a", "m.sh_b"))
-    rows = docs.withColumns(names).join(kept, ["sh_a", "sh_b"], "left_semi")
-    return rows.dropDuplicates(["sh_a", "sh_b"]).select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("sh_row"), a, b)  # so that no names clash
+    return whole.join(kept, ["sh_a", "sh_b"], "left_semi").dropDuplicates(["sh_a", "sh_b"]).select("sh_row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
