@@ -4,16 +4,16 @@ Each pass sorts the distinct vectors lexicographically by the concatenated signs
 projections and compares every vector with its next ``WINDOW`` neighbours; pairs whose cosine
 reaches the threshold in double precision are verified links, and components are the union of the
 links of all passes. The number of passes grows with that of distinct vectors, see ``passes_of``.
-Tasks sort ranges; vectors at their borders meet in a second step. Passes find what belongs together; the links of a component are then counted
-whole, without listing pairs: members within half the threshold's angle of the component's first
-vector are all linked with each other (angles obey the triangle inequality), and only the others
-are compared, in blocks, with all members.
+Tasks sort ranges; vectors at their borders meet in a second step. Passes find what belongs
+together; the links of a component are then counted whole, without listing pairs: members within
+half the threshold's angle of the component's first vector are all linked with each other (angles
+obey the triangle inequality), and only the others are compared, in blocks, with all members.
 
 Defined results. Null, empty or zero vectors and those with null or non-finite components link
 with nothing; each is its own component. Vectors of different lengths never link. Copies are one
 node that carries its count, so a vector that a third of the rows share is compared once; a null
 vec_id gets its links, and is last when a component's smallest id is chosen (null if all are).
-Repeated rows are separate vectors. Empty table: empty result.
+Repeated rows are separate vectors. Empty table: empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import components, cut, forest
 
-PASSES = 8  # at least, and in one shuffle
-WINDOW = 48
+PASSES = 4  # at least
+TOGETHER = 6  # passes in one shuffle
+WINDOW = 512  # compared as blocks of products of matrices; a wider one takes fewer passes, each of which shuffles all vectors
 RECALL = 0.99  # of pairs at the threshold, which decides the number of passes
 BITS = 60
 PART = 1024  # members in a block of comparisons
@@ -115,10 +116,12 @@ def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
                 x, ids = matrix(batch.column(4).slice(at, end - at), int(dim[at])), node[at:end]
                 if tail is not None and tail[0] == (turn[at], dim[at]):
                     x, ids = np.concatenate([tail[1], x]), np.concatenate([tail[2], ids])
-                for lag in range(1, min(window, len(ids) - 1) + 1):
-                    hit = np.flatnonzero((x[:-lag] * x[lag:]).sum(axis=1) >= least)
-                    left.append(ids[hit])
-                    right.append(ids[hit + lag])
+                for s in range(0, len(ids), window):
+                    i, j = np.nonzero(x[s : s + window] @ x[s : s + 2 * window].T >= least)
+                    near = (j > i) & (j <= i + window)
+                    a, b = forest(ids[s + i[near]], ids[s + j[near]])
+                    left.append(a)
+                    right.append(b)
                 tail = ((turn[at], dim[at]), x[-window:], ids[-window:])
                 at = end
             if left:
@@ -154,14 +157,13 @@ def border_rows(edges: DataFrame, passes: int, window: int) -> DataFrame:
     return rows.select((F.col("border") * passes + F.col("turn")).alias("turn"), "dim", key.alias("key"), "node", "v")
 
 
-def pass_links(nodes: DataFrame, turns: range, least: float, window: int) -> DataFrame:
+def pass_links(nodes: DataFrame, turns: range, least: float, window: int, parts: int) -> DataFrame:
     """(a, b): the links that some passes find, whatever the number of partitions."""
-    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["turn", "dim", "key", "node"]
     keyed = sort_keys(nodes, turns).repartitionByRange(parts, *order)
     found = cut(window_links(keyed.sortWithinPartitions(*order), least, window))
     borders = border_rows(found.where("part is not null"), turns.stop, window)
-    across = window_links(borders.repartition(parts, "turn").sortWithinPartitions(*order), least, window)
+    across = window_links(borders.repartition(max(1, parts), "turn").sortWithinPartitions(*order), least, window)
     return found.unionByName(across).where("a is not null").select("a", "b")
 
 
@@ -211,13 +213,23 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
     """(key, n_links, component_id, kept) for every row."""
     kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     rows = rows.select(F.col(key).alias("k"), F.col(vector).cast(kind).alias("v"))
-    rows = rows.withColumn("ok", valid("v")).withColumn("node", F.when(F.col("ok"), F.xxhash64("v")))
-    good = rows.where("ok")
-    nodes = cut(good.groupBy("node").agg(F.count("*").alias("copies"), F.min("k").alias("least"), F.first("v").alias("v")))
-    passes = passes or passes_of(nodes.count(), least, window)
+    rows = rows.withColumn("ok", valid("v"))
+    for seed in range(100):  # a node's number is a hash of its vector, under which no two vectors are equal
+        rows = rows.withColumn("node", F.when(F.col("ok"), F.xxhash64("v", F.lit(seed))))
+        check = F.xxhash64(F.lit(seed), "v")
+        one = [F.count("*").alias("copies"), F.min("k").alias("least"), F.first("v").alias("v"), F.min(check).alias("c"), F.max(check).alias("d")]
+        nodes = cut(rows.where("ok").groupBy("node").agg(*one))
+        if nodes.where("c <> d").isEmpty():
+            break
+    nodes = nodes.drop("c", "d")
+    n = nodes.count()
+    passes = passes or passes_of(n, least, window)
+    most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = None
-    for first in range(0, passes, PASSES):  # a shuffle has so many copies of the vectors, however many passes there are
-        some = cut(pass_links(nodes, range(first, min(passes, first + PASSES)), least, window))
+    for first in range(0, passes, TOGETHER):  # a shuffle has so many copies of the vectors, however many passes there are
+        turns = range(first, min(passes, first + TOGETHER))
+        parts = max(1, min(most, n * len(turns) // (8 * window)))  # ranges of several windows
+        some = cut(pass_links(nodes, turns, least, window, parts))
         found = some if found is None else found.unionByName(some)
     comp = cut(components(found))
 
