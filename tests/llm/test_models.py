@@ -79,7 +79,7 @@ def test_anchors_depend_on_windows_only(monkeypatch):
     texts = ["".join(r.choice("abcde ") for _ in range(r.randrange(300))).encode() + shared[r.randrange(60) :] + b"tail" * r.randrange(40) for _ in range(20)]
 
     def windows(args):
-        doc, h, _, lo, hi = args
+        doc, h, _, lo, hi, _ = args
         return {(d, p): int(x) for d, x, a, b in zip(doc, h, lo, hi) for p in range(a, b + 1)}
 
     got = windows(suffix.anchors(texts))

@@ -45,6 +45,47 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+CLASH = "base extras mix_target mix_row q_kept sh_a sh_row sh_fp node s_spans s_row pii_email tox_score n key k text_ start u packed_text".split()
+WHOLE = {  # operators that pass all columns on
+    "mixing": mixing.mixed_rows, "quality": quality.keep_good, "near duplicates": simhash.keep_first, "personal data": pii.redact,
+}
+PARTLY = {  # operators that add columns, and those of the clashing names that theirs replace
+    "mix": (mixing.mix, {"mix_target"}), "judge": (lambda d: quality.judge(d, *quality.fit(d)[:2]), {"q_kept"}),
+    "secrets": (secrets.classify, {"s_spans", "s_row"}), "personal data": (pii.scan, {"pii_email"}), "toxicity": (lambda d: toxicity.score(d, None, {}), {"tox_score"}),
+    "fingerprints": (simhash.fingerprints, {"sh_fp"}), "packing": (packing.pack, set(CLASH)), "suffixes": (suffix.strip_repeats, set(CLASH)), "sketches": (fingerprint.fingerprint_with_edits, set(CLASH)),
+}
+
+
+def crowded(df):
+    return df.withColumns({c: F.lit(f"of {c}") for c in CLASH})
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_clashing_names_stay(odd, empty, name):
+    out = WHOLE[name](crowded(odd))
+    assert out.columns == crowded(odd).columns and out.dtypes == crowded(odd).dtypes
+    rows = out.collect()
+    assert rows and all(r[c] == f"of {c}" for r in rows for c in CLASH)
+    assert WHOLE[name](crowded(empty)).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(PARTLY))
+def test_clashing_names_are_replaced(odd, empty, name):
+    operator, gone = PARTLY[name]
+    out = operator(crowded(odd))
+    assert len(set(c.lower() for c in out.columns)) == len(out.columns)
+    rows = out.collect()
+    assert len(rows) >= odd.count() and all(r[c] == f"of {c}" for r in rows for c in CLASH if c not in gone)
+    assert operator(crowded(empty)).collect() == []
+
+
+def test_clashing_names_of_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, None)], "vec_id long, embedding array<double>")
+    assert sorted(map(str, embedding.near_vectors(crowded(df)).collect())) == sorted(map(str, embedding.near_vectors(df).collect()))
+    prints = spark.createDataFrame([(1, 7), (2, 7), (None, 7)], "doc_id long, sh_fp long").withColumns({c: F.lit(0) for c in ("sh_root", "component_id", "node", "fp", "root", "least")})
+    assert {r.component_id for r in simhash.clusters(prints).collect()} == {1}
+
+
 def texts(df):
     return {r.doc_id: r.text or "" for r in df.collect()}
 
@@ -205,8 +246,8 @@ def test_embeddings(spark, monkeypatch):
 
 
 def test_embeddings_loose_pairs(spark):
-    """Isolated pairs at the threshold are found at any size of the table."""
-    rng, n = np.random.default_rng(3), 10_000
+    """Isolated pairs at the threshold are found in a table of 100,000 vectors."""
+    rng, n = np.random.default_rng(3), 50_000
     x, y = rng.standard_normal((2, n, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= (x * y).sum(1, keepdims=True) * x
@@ -223,13 +264,9 @@ def test_embeddings_borders(spark):
     x = rng.standard_normal((300, 16))
     x = np.concatenate([x, x + 0.3 * rng.standard_normal(x.shape)])
     nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
-    held, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
-    try:
-        for parts in (1, 7, 150):
-            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-            seen.append(sorted(tuple(r) for r in components(embedding.pass_links(nodes, range(1), 0.9, 8)).collect()))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", held)
+    seen = []
+    for parts in (1, 7, 150):
+        seen.append(sorted(tuple(r) for r in components(embedding.pass_links(nodes, range(1), 0.9, 8, parts)).collect()))
     assert seen[0] and seen[0] == seen[1] == seen[2]
 
 
@@ -264,6 +301,34 @@ def test_toxicity_learns(spark):
     assert {x.tox_score for x in toxicity.score(docs, *toxicity.train([])).collect()} == {0.0}
 
 
+def test_toxicity_sample_is_bounded(spark, odd, empty):
+    docs = documents(spark, [(0, f"text number {i}", "s") for i in range(5000)] + [(i, "x" * 1000, "s") for i in range(1, 400)])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(0, 1)], "doc_id long, toxic int")
+    asked = [i for i in range(400) if not toxicity.held_out(i)]
+    rows = toxicity.training_rows(docs, lab, most=10_000)
+    assert len(rows) == len(asked) and ("text number 0", 1) in rows
+    assert len(toxicity.training_rows(docs, lab, most=10)) <= 40
+    rows = toxicity.training_rows(docs, lab, most_bytes=20_000)
+    assert 19 <= len(rows) <= 21 and sum(len(t) for t, _ in rows) <= 20_000
+    lab = spark.createDataFrame([(r.doc_id, 1) for r in odd.collect()], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(odd, lab)) == len({r.doc_id for r in odd.collect() if r.doc_id is not None and not toxicity.held_out(r.doc_id)})
+    assert toxicity.training_rows(empty, lab) == []
+
+
+def test_toxicity_of_null_ids(spark, tmp_path):
+    documents(spark, [(None, "a b", "s"), (2, "c", "s"), (2, "c", "s")]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = run(spark, str(tmp_path), "op4_toxicity").collect()
+    assert [(r.doc_id, r.held_out, r.score, r.predicted) for r in sorted(got, key=lambda r: r.doc_id or 0)] == [(None, False, 0.0, 0), *[(2, toxicity.held_out(2), 0.0, 0)] * 2]
+
+
+def test_long_obfuscated_words():
+    word = "b" * 60 + "@" + "dword"
+    lexicon = {word.replace("@", "a"): 5.0}
+    odd_words = lambda t: toxicity.features(t, lexicon, {})[11]
+    assert odd_words(f"so {word} here") == 1 and odd_words(f"{word}\n{word}") == 2 and odd_words("x" * 50 + f" {word}") == 1
+
+
 # fingerprints
 
 
