@@ -21,6 +21,10 @@ class ConflictError(LaminaError):
     """A transaction that can't commit beside others."""
 
 
+class DuplicateKeyError(LaminaError, ValueError):
+    """An insert of a key that is there."""
+
+
 class KeyNotFoundError(LaminaError, KeyError):
     """An update or delete of a key that isn't visible."""
 

@@ -65,6 +65,48 @@ def layers(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def flushed(cells: DataFrame, until: int) -> DataFrame:
+    """Cells of one layer as the next one holds them: up to a transaction only the newest of each (pk, col), later ones as they are."""
+    old = collapse(cells.where(F.col("txn_id") <= until))
+    rest = cells.where(F.col("txn_id") > until).select("pk", "col", "after_v", "txn_id")
+    return old.select("pk", "col", "after_v", "txn_id").unionByName(rest)
+
+
+def collected(cells: DataFrame) -> DataFrame:
+    """A transaction's cells as one each (txn_id, pk, col): the first image before and the last one after its statements."""
+    return cells.groupBy("txn_id", "pk", "col").agg(F.min_by("before_v", "stmt").alias("before_v"), F.max_by("after_v", "stmt").alias("after_v"))
+
+
+#: Share of rows and numbers of rows that decide how a patch is kept.
+SPARSE_SHARE = 0.01
+SPARSE_ROWS = 1000
+DENSE_ROWS = 1_000_000
+
+
+def patch_kind(total, affected):
+    """sparse or dense, for a patch of ``affected`` of ``total`` rows."""
+    few = (affected / total < SPARSE_SHARE) | (affected < SPARSE_ROWS)
+    known = (total > 0) & (affected > 0) & (total <= DENSE_ROWS) & (affected < DENSE_ROWS)
+    return F.when(known & few, "sparse").otherwise("dense")
+
+
+#: Recent writes that are looked at, and shares of them that make a column hot or cold.
+HEAT_WINDOW = 256
+HOT_SHARE = 0.7
+COLD_SHARE = 0.1
+
+
+def column_heat(cells: DataFrame) -> DataFrame:
+    """(col, share, heat, flush): a column's share of the newest writes, and the flush policy that follows."""
+    recent = cells.select("txn_id", "col", "pk").orderBy(F.col("txn_id").desc(), "pk", "col").limit(HEAT_WINDOW)
+    n = recent.groupBy("col").agg(F.count("*").alias("n"))
+    total = recent.agg(F.count("*").alias("total"))  # one row
+    share = F.col("n") / F.col("total")
+    heat = F.when(share > HOT_SHARE, "hot").when(share < COLD_SHARE, "cold").otherwise("warm")
+    out = n.crossJoin(F.broadcast(total)).select("col", share.alias("share"), heat.alias("heat"))
+    return out.withColumn("flush", F.when(F.col("heat") == "warm", "normal").otherwise(F.col("heat")))
+
+
 def op_of(before: str = "before_v", after: str = "after_v"):
     """insert, delete or update, by which images there are."""
     return F.when(F.col(before).isNull(), "insert").when(F.col(after).isNull(), "delete").otherwise("update")

@@ -65,6 +65,51 @@ def flush_policy(write_amp: float, read_amp: float, p99_ms: float, qps: float) -
     return "lazy_leveling" if qps > 1000 else "hot_cold"
 
 
+#: Decay of a write's weight with each later one, and heat from which a key is hot or up to which it is cold.
+HEAT_DECAY = 0.875
+HOT = 5.0
+COLD = 1.0
+
+
+def write_heat(log: DataFrame, key: str) -> DataFrame:
+    """(key, writes, heat, kind): each write of a key adds one to a heat that decays with the next.
+
+    The sum of the powers of the decay, so that a count, combined before the shuffle, is enough.
+    """
+    heat = (1 - F.pow(F.lit(HEAT_DECAY), F.col("writes"))) / (1 - HEAT_DECAY)
+    out = log.groupBy(key).agg(F.count("*").alias("writes")).withColumn("heat", heat)
+    return out.withColumn("kind", F.when(F.col("heat") >= HOT, "hot").when(F.col("heat") <= COLD, "cold").otherwise("warm"))
+
+
+def climbed(step: float = 0.1, least: int = 5) -> tuple[Column, Column]:
+    """``climb`` for rows (stale, miss, staleness, hit_ratio, queries): the new weights stale and miss."""
+    c = F.col
+    up, down = c("stale") + step, c("stale") - step / 2
+    stale = F.when((c("staleness") > 0.5) & (up <= 20), up).when((c("staleness") <= 0.5) & (c("staleness") < 0.1) & (c("queries") > 20) & (down >= 1), down).otherwise(c("stale"))
+    miss = F.when((1 - c("hit_ratio") > 0.5) & (c("queries") > 10) & (c("miss") + step <= 10), c("miss") + step).otherwise(c("miss"))
+    known = c("queries") >= least
+    return F.when(known, stale).otherwise(c("stale")), F.when(known, miss).otherwise(c("miss"))
+
+
+def tiering_of(range_share: Column, ratio: float = 10.0) -> Column:
+    """``tiering`` for a column: (policy, runs)."""
+    t = F.lit(ratio) / (1 + ratio * F.least(F.greatest(range_share, F.lit(0.01)), F.lit(0.99)))
+    kind = F.when(t >= ratio * 0.5, "tiering").when(t <= ratio * 0.15, "leveling").otherwise("hybrid")
+    return F.struct(kind.alias("policy"), t.alias("runs"))
+
+
+def flush_policy_of(write_amp: Column, read_amp: Column, p99_ms: Column, qps: Column) -> Column:
+    return (
+        F.when((write_amp > 10) & (read_amp < 2), "tiering").when((read_amp > 5) & (p99_ms > 50), "leveling")
+        .when(qps > 1000, "lazy_leveling").otherwise("hot_cold")
+    )
+
+
+def may_run_behind(load: Column) -> Column:
+    """Whether background work may run beside a foreground load between 0 and 1."""
+    return 1 - load > 0.3
+
+
 def ewma(log: DataFrame, key: str, value: str, order: str, decay: float) -> DataFrame:
     """(key, score): exponentially weighted mean of each key's values in order, the newest counting 1 - decay."""
     newest = Window.partitionBy(key).orderBy(F.col(order).desc())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Thresholds and relative costs.
@@ -43,6 +43,47 @@ def rule(kind: str, share: float, deltas: int, pending: bool = False) -> str | N
     return "merge" if deltas > DELTA_OVERLOAD else None
 
 
+def kind_of(has_filter: Column, is_aggregate: Column, share: Column) -> Column:
+    """``query_kind`` for the rows of a log."""
+    return F.when(is_aggregate, "aggregate").when(~has_filter, "full_scan").when(share < POINT_SHARE, "point_get").otherwise("range_scan")
+
+
+def rule_of(kind: Column, share: Column, deltas: Column, pending: Column) -> Column:
+    """``rule`` for the rows of a log; null where none is sure."""
+    return (
+        F.when(kind == "point_get", "delta").when(~pending & (deltas == 0), "columnar").when(share < POINT_SHARE, "delta")
+        .when(share > FULL_SHARE, "columnar").when(deltas > DELTA_OVERLOAD, "merge")
+    )
+
+
+def blended(estimate: Column, runs: Column, mean_ms: Column, weight: float = FEEDBACK_WEIGHT) -> Column:
+    """``blend`` for the rows of a log."""
+    return F.when(runs >= 3, estimate * (1 - weight) + mean_ms * weight).otherwise(estimate)
+
+
+def calibrated(cpu_row: Column, mean_error: Column, rows: Column) -> Column:
+    """The cost of a row after a run over so many: moved by the mean relative error, the less the larger the run, within bounds."""
+    rate = F.lit(0.001) / F.sqrt(1 + rows * 1e-6)
+    return F.least(F.greatest(cpu_row * (1 + mean_error * rate), F.lit(0.001)), F.lit(100.0))
+
+
+def evidence(log: DataFrame) -> DataFrame:
+    """(table, path, source, mean_ms, runs): timings of each path by the best source there is, measured before dual before proxy."""
+    place = F.array_position(F.array(*map(F.lit, ("measured", "dual", "proxy"))), F.col("source"))
+    per = log.groupBy("table", "path", "source").agg(F.avg("ms").alias("mean_ms"), F.count("*").alias("runs"))
+    best = per.groupBy("table", "path").agg(F.min_by(F.struct("source", "mean_ms", "runs"), place).alias("b"))
+    return best.select("table", "path", "b.*")
+
+
+def observed_pairs(log: DataFrame, *, window: int = WINDOW) -> DataFrame:
+    """``observed_share`` for pairs of columns (table, column, column2, seq, rows, total), in either order."""
+    pair = log.withColumns({"column": F.least("column", "column2"), "column2": F.greatest("column", "column2")})
+    pair = pair.withColumn("column", F.to_json(F.struct(F.col("column").alias("a"), F.col("column2").alias("b"))))
+    out = observed_share(pair, window=window)
+    part = lambda k: F.get_json_object("column", f"$.{k}")
+    return out.select("table", part("a").alias("column1"), part("b").alias("column2"), "share", "n")
+
+
 def costs(rows: float, row_bytes: float, deltas: int) -> dict[str, float]:
     columnar = rows * COLUMNAR_CPU * CPU_ROW + rows * row_bytes * COMPRESSION * IO_BYTE
     return {"delta": rows * CPU_ROW + rows * row_bytes * IO_BYTE, "columnar": columnar, "merge": deltas * DELTA_LOOKUP + columnar * MERGE_OVERHEAD}

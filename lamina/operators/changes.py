@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.errors import InvalidParameterError
 from lamina.functions.merge import collapse, op_of, visible_cells
 
 
@@ -24,6 +25,36 @@ def row_changes(changes: DataFrame) -> DataFrame:
     return changes.groupBy("txn_id", "pk").agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.count("*").alias("n_cells"))
 
 
+GRANULARITY = ("cell", "row", "both")
+
+
+def feed(changes: DataFrame, granularity: str = "cell") -> DataFrame:
+    """(txn_id, pk, kind, n_cells) of cell changes as cells, as rows, or as both, told apart by ``kind``."""
+    if granularity not in GRANULARITY:
+        raise InvalidParameterError(f"granularity is one of {', '.join(GRANULARITY)}")
+    cells = changes.select("txn_id", "pk", F.lit("cell").alias("kind"), F.lit(1).cast("long").alias("n_cells"))
+    rows = changes.groupBy("txn_id", "pk").agg(F.count("*").alias("n_cells")).select("txn_id", "pk", F.lit("row").alias("kind"), "n_cells")
+    return {"cell": lambda: cells, "row": lambda: rows, "both": lambda: cells.unionByName(rows)}[granularity]()
+
+
+def endings(ops: DataFrame) -> DataFrame:
+    """(txn_id, ending) of an operation log with begin, commit, rollback and row operations.
+
+    committed; rolled_back; open (no end: dropped at replay); ambiguous (more than one end);
+    corrupt (operations or an end without a begin, or after the end).
+    """
+    has = lambda op: F.count_if(F.col("op") == op)
+    end = F.col("op").isin("commit", "rollback")
+    per = ops.groupBy("txn_id").agg(
+        has("begin").alias("begins"), has("commit").alias("commits"), has("rollback").alias("rollbacks"),
+        F.min(F.when(F.col("op") == "begin", F.col("seq"))).alias("first"), F.min("seq").alias("least"), F.max("seq").alias("last"), F.max(F.when(end, F.col("seq"))).alias("ended"),
+    )
+    corrupt = (F.col("begins") != 1) | (F.col("first") > F.col("least")) | (F.col("ended") < F.col("last"))
+    ends = F.col("commits") + F.col("rollbacks")
+    ending = F.when(ends > 1, "ambiguous").when(corrupt, "corrupt").when(ends == 0, "open").when(F.col("commits") == 1, "committed").otherwise("rolled_back")
+    return per.select("txn_id", ending.alias("ending"))
+
+
 def boundaries(changes: DataFrame) -> DataFrame:
     """(txn_id, kind, pk, col, op): begin 0, cells 1, commit 2 of each transaction."""
     ends = changes.select("txn_id").distinct()

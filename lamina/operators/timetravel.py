@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.errors import HistoryUnavailableError, TimeTravelSyntaxError
@@ -40,6 +40,17 @@ def scan_as_of(versions: DataFrame, txn_log: DataFrame | None, txn: int, where:
     return apply(visible(versions, txn_log, txn), where)
 
 
+def version_index(versions: DataFrame, key: str, *, created: str = "created_txn") -> DataFrame:
+    """(key, created, until): from which transaction on a version is the newest of its key, and up to which."""
+    later = F.lead(created).over(Window.partitionBy(key).orderBy(created))
+    return versions.select(key, F.col(created), later.alias("until"))
+
+
+def point_as_of(versions: DataFrame, txn_log: DataFrame, txn: int, key: str, value) -> DataFrame:
+    """The newest version of one key visible at a transaction; the key is looked for before anything else is done."""
+    return get_as_of(versions.where(F.col(key) == F.lit(value)), txn_log, txn, key)
+
+
 def get_as_of(versions: DataFrame, txn_log: DataFrame, txn: int, key: str) -> DataFrame:
     """For each key the newest version visible at a transaction."""
     seen = visible(versions, txn_log, txn, keep_versions=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,11 +9,11 @@ from pyspark.sql import functions as F
 from lamina.operators.engine import Engine
 from lamina.plans.registry import query, table as t
 from lamina.sources.export import export, read_export
+from lamina.sources.shared import shared_folder
 
 
 def _root(spark) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-engine-")
-    return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}"
 
 
 def _customers(spark, sf_dir):

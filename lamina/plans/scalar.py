@@ -29,10 +29,10 @@ def fn_date(s, d):
     return t(s, d, "orders").select("o_orderkey", F.date_trunc("month", o).cast("timestamp_ntz").alias("month"), F.year(o).alias("y"), F.dayofweek(o).alias("dow"), F.date_diff(o, F.lit("1992-01-01").cast("date")).cast("long").alias("days"), (o + F.expr("INTERVAL 30 DAYS")).alias("due"), F.date_format(o, "yyyy/MM").alias("ym"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 7) AS unit, CAST(floor(l_tax * 100) AS BIGINT) AS f, CAST(ceil(l_discount * 100) AS BIGINT) AS c, abs(l_discount - 0.05) AS a, round(sqrt(l_extendedprice), 6) AS sq, round(ln(l_extendedprice), 8) AS l, l_orderkey % 7 AS m, greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS le, round(power(l_quantity, 2), 2) AS p FROM lineitem WHERE l_orderkey < 3000")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 7) AS unit, CAST(floor(l_tax * 100) AS BIGINT) AS f, CAST(ceil(l_discount * 100) AS BIGINT) AS c, abs(l_discount - 0.05) AS a, round(sqrt(l_extendedprice), 6) AS sq, round(ln(l_extendedprice), 8) AS l, l_orderkey % 7 AS m, greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS le, round(power(l_quantity, 2), 2) AS p FROM lineitem")
 def fn_math(s, d):
     c = F.col
-    return t(s, d, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", F.round(c("l_extendedprice") / c("l_quantity"), 7).alias("unit"), F.floor(c("l_tax") * 100).alias("f"), F.ceil(c("l_discount") * 100).alias("c"), F.abs(c("l_discount") - 0.05).alias("a"), F.round(F.sqrt("l_extendedprice"), 6).alias("sq"), F.round(F.log("l_extendedprice"), 8).alias("l"), (c("l_orderkey") % 7).alias("m"), F.greatest("l_tax", "l_discount").alias("g"), F.least("l_tax", "l_discount").alias("le"), F.round(F.pow("l_quantity", F.lit(2.0)), 2).alias("p"))
+    return t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(c("l_extendedprice") / c("l_quantity"), 7).alias("unit"), F.floor(c("l_tax") * 100).alias("f"), F.ceil(c("l_discount") * 100).alias("c"), F.abs(c("l_discount") - 0.05).alias("a"), F.round(F.sqrt("l_extendedprice"), 6).alias("sq"), F.round(F.log("l_extendedprice"), 8).alias("l"), (c("l_orderkey") % 7).alias("m"), F.greatest("l_tax", "l_discount").alias("g"), F.least("l_tax", "l_discount").alias("le"), F.round(F.pow("l_quantity", F.lit(2.0)), 2).alias("p"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 150000 THEN 'mid' ELSE 'high' END AS band, CAST(o_totalprice AS DECIMAL(12, 1)) AS dec1, CAST(o_orderkey AS VARCHAR) AS txt, TRY_CAST(o_orderstatus AS INT) AS none FROM orders")
@@ -57,9 +57,9 @@ def fn_array(s, d):
     return t(s, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate(F.transform(e, lambda x: x * x), F.lit(0.0), lambda a, x: a + x), 4).alias("norm2"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("pos"), F.round(F.array_max(e), 5).alias("most"))
 
 
-@query("SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(string_split(substr(text, 1, 60), ' ')) AS w FROM documents WHERE text IS NOT NULL) GROUP BY lang, w HAVING count(*) > 20")
+@query("SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents WHERE text IS NOT NULL) GROUP BY lang, w HAVING count(*) > 20")
 def fn_unnest(s, d):
-    w = t(s, d, "documents").select("lang", F.explode(F.split(F.substring("text", 1, 60), " ")).alias("w"))
+    w = t(s, d, "documents").select("lang", F.explode(F.split("text", " ")).alias("w"))
     return w.groupBy("lang", "w").agg(F.count("*").alias("n")).where("n > 20")
 
 
@@ -86,3 +86,14 @@ def fn_url(s, d):
 def fn_map(s, d):
     m = F.create_map(F.lit("a"), F.col("p_size"), F.lit("b"), F.col("p_size") * 2)
     return t(s, d, "part").select("p_partkey", F.element_at(m, "b").alias("b"))
+
+
+_L2 = "sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: power(CAST(p[1] AS DOUBLE) - p[2], 2))))"
+
+
+@query(f"SELECT e.vec_id, round({_L2}, 5) AS l2, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])), 5) AS dot FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
+def fn_distance(s, d):
+    e = t(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = F.broadcast(e.where("vec_id = 0").select(F.col("v").alias("q")))  # one row
+    total = lambda f: F.aggregate(F.zip_with("v", "q", f), F.lit(0.0), lambda c, x: c + x)
+    return e.join(q).select("vec_id", F.round(F.sqrt(total(lambda x, y: (x - y) * (x - y))), 5).alias("l2"), F.round(total(lambda x, y: x * y), 5).alias("dot"))

@@ -64,9 +64,16 @@ def subaltern_offsets(s, d):
     return S.subaltern(t(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query("SELECT * FROM (VALUES ('o_orderkey', 'delta'), ('o_custkey', 'bitpack'), ('o_totalprice', 'alp'), ('o_orderstatus', 'dictionary')) v(\"column\", advice)")
+_FALLS = "max(CASE WHEN {0} < {0}_before THEN 1 ELSE 0 END)"
+_BEFORE = "SELECT *, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS o_orderkey_before, lag(o_custkey) OVER (ORDER BY o_orderkey) AS o_custkey_before FROM orders"
+
+
+@query(f"""SELECT 'o_orderkey' AS "column", CASE WHEN {_FALLS.format('o_orderkey')} = 1 THEN 'bitpack' ELSE 'delta' END AS advice FROM ({_BEFORE})
+ UNION ALL SELECT 'o_custkey', CASE WHEN {_FALLS.format('o_custkey')} = 1 THEN 'bitpack' ELSE 'delta' END FROM ({_BEFORE})
+ UNION ALL SELECT column_name, CASE data_type WHEN 'DOUBLE' THEN 'alp' ELSE 'raw' END FROM information_schema.columns WHERE table_name = 'orders' AND column_name = 'o_totalprice'
+ UNION ALL SELECT 'o_orderstatus', CASE WHEN count(DISTINCT o_orderstatus) < 1000 THEN 'dictionary' ELSE 'raw' END FROM orders""")
 def encoding_advice(s, d):
-    return S.encoding_advice(t(s, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"], ["o_orderkey"], "o_orderstatus")
+    return S.encoding_advice(t(s, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"], ["o_orderkey"])
 
 
 @query("SELECT 'orders' AS \"table\", event_type AS \"column\", round(avg(value / 1000), 6) AS share, count(*) AS n FROM (SELECT * FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 1000) GROUP BY event_type")
@@ -111,10 +118,64 @@ def range_reduce(s, d):
     return PO.range_reduce(x).select("segment", "score")
 
 
-@query("SELECT * FROM (VALUES ('point_get', 'delta'), ('full_scan', 'columnar'), ('range_scan', 'merge'), ('aggregate', 'columnar')) v(kind, path)")
+#: events as a log of queries: whether there is a filter or an aggregate, the share of rows and the deltas in the way.
+_LOG = "SELECT event_id, event_type <> 'view' AS filtered, event_type = 'purchase' AND user_id % 2 = 0 AS aggregated, coalesce(value, 0) / 1000 AS share, user_id % 150 AS deltas, user_id % 5 = 0 AS pending FROM events"
+_KIND = "CASE WHEN aggregated THEN 'aggregate' WHEN NOT filtered THEN 'full_scan' WHEN share < 0.01 THEN 'point_get' ELSE 'range_scan' END"
+
+
+def _queries(s, d):
+    kind, user = F.col("event_type"), F.col("user_id")
+    share = (F.coalesce("value", F.lit(0.0)) / 1000).alias("share")
+    return t(s, d, "events").select("event_id", (kind != "view").alias("filtered"), ((kind == "purchase") & (user % 2 == 0)).alias("aggregated"), share, (user % 150).alias("deltas"), (user % 5 == 0).alias("pending"))
+
+
+@query(f"SELECT event_id, {_KIND} AS kind FROM ({_LOG})")
+def query_kinds(s, d):
+    return _queries(s, d).select("event_id", R.kind_of(F.col("filtered"), F.col("aggregated"), F.col("share")).alias("kind"))
+
+
+@query(f"""SELECT event_id, CASE WHEN kind = 'point_get' THEN 'delta' WHEN NOT pending AND deltas = 0 THEN 'columnar' WHEN share < 0.01 THEN 'delta'
+ WHEN share > 0.1 THEN 'columnar' WHEN deltas > 100 THEN 'merge' END AS path FROM (SELECT *, {_KIND} AS kind FROM ({_LOG}))""")
 def route_rules(s, d):
-    rows = [("point_get", R.rule("point_get", 0.005, 5)), ("full_scan", R.rule("full_scan", 1.0, 0)), ("range_scan", R.rule("range_scan", 0.05, 200)), ("aggregate", R.rule("aggregate", 0.5, 3))]
-    return s.createDataFrame(rows, "kind string, path string")
+    q = _queries(s, d).withColumn("kind", R.kind_of(F.col("filtered"), F.col("aggregated"), F.col("share")))
+    return q.select("event_id", R.rule_of(*map(F.col, ("kind", "share", "deltas", "pending"))).alias("path"))
+
+
+_TIMES = "SELECT event_type AS path, user_id % 7 AS \"table\", CASE user_id % 3 WHEN 0 THEN 'proxy' WHEN 1 THEN 'dual' ELSE 'measured' END AS source, coalesce(value, 0) AS ms FROM events WHERE user_id % 7 <> 3 OR user_id % 3 = 0"
+
+
+def _times(s, d):
+    user = F.col("user_id")
+    source = F.when(user % 3 == 0, "proxy").when(user % 3 == 1, "dual").otherwise("measured")
+    e = t(s, d, "events").where((user % 7 != 3) | (user % 3 == 0))
+    return e.select(F.col("event_type").alias("path"), (user % 7).alias("table"), source.alias("source"), F.coalesce("value", F.lit(0.0)).alias("ms"))
+
+
+@query(f"""WITH x AS (SELECT "table", path, source, avg(ms) AS mean_ms, count(*) AS runs FROM ({_TIMES}) GROUP BY ALL)
+ SELECT "table", path, source, round(mean_ms, 5) AS mean_ms, runs FROM x QUALIFY row_number() OVER (PARTITION BY "table", path ORDER BY CASE source WHEN 'measured' THEN 1 WHEN 'dual' THEN 2 ELSE 3 END) = 1""")
+def execution_history(s, d):
+    return R.evidence(_times(s, d)).withColumn("mean_ms", F.round("mean_ms", 5))
+
+
+@query(f"""SELECT "table", path, round(CASE WHEN count(*) >= 3 THEN 100 * 0.7 + avg(ms) * 0.3 ELSE 100 END, 5) AS cost FROM ({_TIMES}) GROUP BY ALL""")
+def blended_costs(s, d):
+    seen = _times(s, d).groupBy("table", "path").agg(F.count("*").alias("runs"), F.avg("ms").alias("mean_ms"))
+    return seen.select("table", "path", F.round(R.blended(F.lit(100.0), F.col("runs"), F.col("mean_ms")), 5).alias("cost"))
+
+
+@query(f"""SELECT "table", path, round(least(greatest(1.0 * (1 + avg(ms / 100 - 1) * 0.001 / sqrt(1 + count(*) * 1e-6)), 0.001), 100.0), 8) AS cpu FROM ({_TIMES}) GROUP BY ALL""")
+def calibrated_costs(s, d):
+    seen = _times(s, d).groupBy("table", "path").agg(F.count("*").alias("runs"), F.avg(F.col("ms") / 100 - 1).alias("error"))
+    return seen.select("table", "path", F.round(R.calibrated(F.lit(1.0), F.col("error"), F.col("runs")), 8).alias("cpu"))
+
+
+@query("""SELECT 'events' AS "table", least(event_type, 'value') AS column1, greatest(event_type, 'value') AS column2, round(avg(value / 1000), 6) AS share, count(*) AS n
+ FROM (SELECT * FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 1000) GROUP BY event_type""")
+def observed_pairs(s, d):
+    log = t(s, d, "events").where("value is not null").select(
+        F.lit("events").alias("table"), F.col("event_type").alias("column"), F.lit("value").alias("column2"), F.col("event_id").alias("seq"), F.col("value").alias("rows"), F.lit(1000.0).alias("total"),
+    )
+    return R.observed_pairs(log).withColumn("share", F.round("share", 6))
 
 
 @query("WITH n AS (SELECT count(*) AS c FROM orders) SELECT c * 1.0 + c * 64 * 0.001 AS delta, c * 1.5 + c * 64 * 0.5 * 0.001 AS columnar, 7 * 10 + (c * 1.5 + c * 64 * 0.5 * 0.001) * 1.5 AS merge FROM n")
@@ -129,3 +190,89 @@ def selectivity_estimate(s, d):
     st = {"o_custkey": PR.ColumnStats(distinct=r[0]), "o_totalprice": PR.ColumnStats(r[1], r[2], 1)}
     x = PR.selectivity(PR.parse("o_custkey = 5 OR o_totalprice < 50000"), st)
     return s.createDataFrame([(round(x, 8),)], "share double")
+
+
+# pruning by statistics: the block's minima and maxima as rows, the filter as a condition over them
+
+_BLOCKS = "SELECT o_orderkey // 1024 AS block, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max, min(o_custkey) AS o_custkey_min, max(o_custkey) AS o_custkey_max FROM orders GROUP BY 1"
+
+
+def _wide_blocks(s, d):
+    price, cust = F.col("o_totalprice"), F.col("o_custkey")
+    return t(s, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 1024).alias("block")).agg(
+        F.min(price).alias("o_totalprice_min"), F.max(price).alias("o_totalprice_max"), F.min(cust).alias("o_custkey_min"), F.max(cust).alias("o_custkey_max"),
+    )
+
+
+def _skip(name: str, text: str, sql: str):
+    @query(f"SELECT block FROM ({_BLOCKS}) WHERE {sql}", name=name)
+    def run(s, d):
+        return _wide_blocks(s, d).where(PR.overlap(PR.pruning(PR.parse(text)))).select("block")
+
+
+_skip("prune_and", "o_totalprice > 440000 AND o_custkey <= 20", "o_totalprice_max > 440000 AND o_custkey_min <= 20")
+_skip("prune_or_group", "o_totalprice < 900 OR o_totalprice >= 450000 OR o_totalprice = 1000", "(o_totalprice_min < 900 OR o_totalprice_max >= 450000 OR (o_totalprice_min <= 1000 AND o_totalprice_max >= 1000))")
+_skip("prune_or_columns", "o_totalprice < 0 OR o_custkey = 3", "TRUE")
+_skip("prune_not", "NOT o_totalprice > 0 AND o_custkey < 5", "o_custkey_min < 5")
+
+
+@query("""SELECT b.block // 8 AS granule, min(lo) AS lo, max(hi) AS hi, CAST(sum(n) AS BIGINT) AS n FROM
+ (SELECT o_orderkey // 1024 AS block, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS n FROM orders GROUP BY 1) b GROUP BY 1""")
+def granule_statistics(s, d):
+    b = S.block_stats(t(s, d, "orders"), F.floor(F.col("o_orderkey") / 1024), ["o_totalprice"])
+    return S.granules(b).select("granule", F.col("min").alias("lo"), F.col("max").alias("hi"), "n")
+
+
+@query("SELECT o_orderkey // 1024 AS block, count(*) AS n FROM orders WHERE o_custkey = 40 GROUP BY 1")
+def bloom_probe(s, d):
+    """Blocks that may hold a customer by their filters, then the rows themselves: a filter never loses one."""
+    block = F.floor(F.col("o_orderkey") / 1024)
+    o = t(s, d, "orders").select(block.alias("block"), "o_custkey")
+    asked = S.bloom(o, F.col("block"), "o_custkey").where(S.may_hold(F.lit(40).cast("long"))).select("block")
+    return o.join(asked, "block", "left_semi").where("o_custkey = 40").groupBy("block").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders")
+def row_positions(s, d):
+    return S.positions(t(s, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "position")
+
+
+@query("SELECT * FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders) WHERE position % 512 = 0")
+def sparse_index(s, d):
+    return S.sparse_index(t(s, d, "orders"), "o_orderkey", 512).select("o_orderkey", "position")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders")
+def subaltern_round_trip(s, d):
+    return S.subaltern_undo(S.subaltern(t(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
+
+
+# compaction policies over segments
+
+_STATE = f"SELECT segment, 5.0 AS stale, 3.0 AS miss, staleness, hit_ratio, segment % 30 AS queries FROM ({_SEGS})"
+
+
+@query(f"""SELECT segment,
+ round(CASE WHEN queries < 5 THEN stale WHEN staleness > 0.5 THEN stale + 0.1 WHEN staleness < 0.1 AND queries > 20 THEN stale - 0.05 ELSE stale END, 6) AS stale,
+ round(CASE WHEN queries >= 5 AND 1 - hit_ratio > 0.5 AND queries > 10 THEN miss + 0.1 ELSE miss END, 6) AS miss FROM ({_STATE})""")
+def climbed_weights(s, d):
+    x = _segments(s, d).select("segment", F.lit(5.0).alias("stale"), F.lit(3.0).alias("miss"), "staleness", "hit_ratio", (F.col("segment") % 30).alias("queries"))
+    stale, miss = PO.climbed()
+    return x.select("segment", F.round(stale, 6).alias("stale"), F.round(miss, 6).alias("miss"))
+
+
+@query(f"SELECT segment, CASE WHEN t >= 5 THEN 'tiering' WHEN t <= 1.5 THEN 'leveling' ELSE 'hybrid' END AS policy, round(t, 6) AS runs FROM (SELECT segment, 10 / (1 + 10 * least(greatest(staleness, 0.01), 0.99)) AS t FROM ({_SEGS}))")
+def tiering_policy(s, d):
+    x = _segments(s, d).select("segment", PO.tiering_of(F.col("staleness")).alias("p"))
+    return x.select("segment", "p.policy", F.round("p.runs", 6).alias("runs"))
+
+
+@query(f"SELECT segment, CASE WHEN w > 10 AND r < 2 THEN 'tiering' WHEN r > 5 AND p > 50 THEN 'leveling' WHEN q > 1000 THEN 'lazy_leveling' ELSE 'hot_cold' END AS policy FROM (SELECT segment, segment % 20 AS w, segment % 9 AS r, segment % 77 AS p, segment * 30 AS q FROM ({_SEGS}))")
+def flush_policies(s, d):
+    k = F.col("segment")
+    return _segments(s, d).select("segment", PO.flush_policy_of(k % 20, k % 9, k % 77, k * 30).alias("policy"))
+
+
+@query(f"SELECT segment, 1 - del_ratio > 0.3 AS may_run FROM ({_SEGS})")
+def load_gate(s, d):
+    return _segments(s, d).select("segment", PO.may_run_behind(F.col("del_ratio")).alias("may_run"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.functions import merge as M
+from lamina.functions import policy as PO
 from lamina.functions import predicate
-from lamina.functions.visibility import add_versions, mark_deleted, visible
+from lamina.functions.visibility import add_versions, mark_deleted, retained, visible
 from lamina.operators import changes as C
 from lamina.operators import engine as E
 from lamina.operators import timetravel as TT
@@ -56,17 +56,22 @@ def txn_summary(spark, sf_dir):
     return txn_log(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.max("commit_seq").alias("last"))
 
 
-@query(f"{CTE} SELECT txn_id, commit_seq FROM txn_log WHERE commit_seq IS NOT NULL QUALIFY row_number() OVER (ORDER BY commit_seq DESC, txn_id DESC) <= 40")
+_NEWEST = "SELECT min(commit_seq) FROM (SELECT commit_seq FROM txn_log WHERE commit_seq IS NOT NULL ORDER BY commit_seq DESC LIMIT 40)"
+
+
+@query(f"{CTE} SELECT txn_id, commit_seq FROM txn_log WHERE commit_seq >= ({_NEWEST}) AND commit_seq >= 100 OR commit_seq >= 95")
 def history_retention(spark, sf_dir):
-    return txn_log(spark, sf_dir).where("commit_seq is not null").select("txn_id", "commit_seq").orderBy(F.col("commit_seq").desc(), F.col("txn_id").desc()).limit(40)
+    """By number, by age, and never what replay still needs."""
+    return retained(txn_log(spark, sf_dir), keep=40, ttl=20, now=120, floor=95).select("txn_id", "commit_seq")
 
 
-_KEYS = "SELECT o_orderkey % 40 + 1 AS txn_id, CAST(o_custkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'w' ELSE 'r' END AS mode FROM orders WHERE o_custkey % 10 = 0"
+_KEYS = "SELECT o_orderkey % 40 + 1 AS txn_id, CAST(o_custkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'w' ELSE 'r' END AS mode FROM orders"
 
 
 @query(f"WITH k AS (SELECT *, txn_id AS b, txn_id + 3 AS e FROM ({_KEYS})) SELECT DISTINCT x.txn_id AS first, y.txn_id AS second, x.key FROM k x JOIN k y ON x.key = y.key AND x.txn_id < y.txn_id AND x.b <= y.e AND y.b <= x.e AND (x.mode = 'w' OR y.mode = 'w')")
 def conflict_audit(spark, sf_dir):
-    k = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0").select((F.col("o_orderkey") % 40 + 1).alias("txn_id"), F.col("o_custkey").cast("string").alias("key"), F.when(F.col("o_orderkey") % 3 == 0, "w").otherwise("r").alias("mode"))
+    mode = F.when(F.col("o_orderkey") % 3 == 0, "w").otherwise("r")
+    k = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 40 + 1).alias("txn_id"), F.col("o_custkey").cast("string").alias("key"), mode.alias("mode"))
     lives = k.select("txn_id").distinct().select("txn_id", F.col("txn_id").alias("begin_seq"), (F.col("txn_id") + 3).alias("end_seq"))
     return E.audit(k, lives)
 
@@ -116,8 +121,15 @@ def point_get(spark, sf_dir):
     return visible(orders_v(spark, sf_dir).where("o_orderkey = 8"), txn_log(spark, sf_dir), SNAPSHOT)
 
 
-@query(f"{CTE} SELECT o_custkey, arg_max(o_orderkey, created_txn * 1000000 + o_orderkey) AS o_orderkey FROM ({visible_sql(60)}) GROUP BY o_custkey")
+@query(f"{CTE} SELECT {ROW}, created_txn FROM ({visible_sql(60)}) WHERE o_orderkey = 35")
 def point_get_as_of(spark, sf_dir):
+    """A read by key: the filter on the key reaches the Parquet reader."""
+    v = orders_v(spark, sf_dir)
+    return TT.point_as_of(v, txn_log(spark, sf_dir), 60, "o_orderkey", 35).select(*ROW.split(", "), "created_txn")
+
+
+@query(f"{CTE} SELECT o_custkey, arg_max(o_orderkey, created_txn * 1000000 + o_orderkey) AS o_orderkey FROM ({visible_sql(60)}) GROUP BY o_custkey")
+def newest_as_of(spark, sf_dir):
     v = orders_v(spark, sf_dir).select("o_custkey", "o_orderkey", (F.col("created_txn") * 1000000 + F.col("o_orderkey")).alias("rank"), "created_txn", "deleted_txn")
     seen_rows = visible(v, txn_log(spark, sf_dir), 60)
     return seen_rows.groupBy("o_custkey").agg(F.max_by("o_orderkey", "rank").alias("o_orderkey"))
@@ -143,9 +155,14 @@ def cdc_cells(spark, sf_dir):
     return _feed(spark, sf_dir)
 
 
-@query(f"{CTE} SELECT txn_id, pk, count(*) AS n_cells FROM ({_FEED}) GROUP BY txn_id, pk")
+_CENTS = "coalesce(CAST(CAST(round({} * 100) AS BIGINT) AS VARCHAR), '-')"
+
+
+@query(f"{CTE} SELECT txn_id, pk, count(*) AS n_cells, string_agg(col || ':' || {_CENTS.format('before_v')} || ':' || {_CENTS.format('after_v')}, ',' ORDER BY col) AS cells FROM ({_FEED}) GROUP BY txn_id, pk")
 def cdc_rows(spark, sf_dir):
-    return C.row_changes(_feed(spark, sf_dir)).drop("cells")
+    cents = lambda x: F.coalesce(F.round(x * 100).cast("long").cast("string"), F.lit("-"))
+    cells = F.transform("cells", lambda c: F.concat_ws(":", c["col"], cents(c["before_v"]), cents(c["after_v"])))
+    return C.row_changes(_feed(spark, sf_dir)).withColumn("cells", F.array_join(cells, ","))
 
 
 @query(f"{CTE}, f AS ({_FEED}) SELECT DISTINCT txn_id, 0 AS kind, CAST(NULL AS BIGINT) AS pk, CAST(NULL AS VARCHAR) AS col, 'begin' AS op FROM f UNION ALL SELECT txn_id, 1, pk, col, op FROM f UNION ALL SELECT DISTINCT txn_id, 2, NULL, NULL, 'commit' FROM f")
@@ -168,17 +185,20 @@ def cdc_net(spark, sf_dir):
     return C.net_changes(orders_delta(spark, sf_dir), txn_log(spark, sf_dir), 20, 90).select("pk", "after_v", "txn_id")
 
 
-@query(f"{CTE} SELECT pk, txn_id, CASE {_OP} WHEN 'insert' THEN 'c' WHEN 'delete' THEN 'd' ELSE 'u' END AS op, CASE WHEN pk % 2 = 0 THEN 'even-orders' ELSE 'changes' END AS topic FROM ({_FEED})")
+@query(f"{CTE} SELECT pk, txn_id, CASE {_OP} WHEN 'insert' THEN 'c' WHEN 'delete' THEN 'd' ELSE 'u' END AS op, before_v AS before, after_v AS after, CAST(txn_id AS VARCHAR) AS key, CASE WHEN pk % 2 = 0 THEN 'even-orders' ELSE 'changes' END AS topic FROM ({_FEED})")
 def cdc_envelopes(spark, sf_dir):
     e = C.envelopes(_feed(spark, sf_dir), "t").withColumn("table", F.when(F.col("pk") % 2 == 0, "even").otherwise("odd"))
     e = C.routed(e, {"even": "even-orders"}, "changes")
-    return e.select("pk", "txn_id", F.get_json_object("value", "$.op").alias("op"), "topic")
+    image = lambda k: F.get_json_object("value", f"$.{k}.o_totalprice").cast("double").alias(k)
+    return e.select("pk", "txn_id", F.get_json_object("value", "$.op").alias("op"), image("before"), image("after"), F.col("key").cast("string").alias("key"), "topic")
 
 
-@query(f"{CTE} SELECT txn_id, pk, CAST(txn_id AS VARCHAR) AS t, col FROM ({_FEED})")
+@query(f"{CTE} SELECT txn_id, pk, CAST(txn_id AS VARCHAR) AS t, CAST(pk AS VARCHAR) AS p, col, before_v, after_v, op FROM ({_FEED})")
 def cdc_json(spark, sf_dir):
     j = C.as_json(_feed(spark, sf_dir))
-    return j.select("txn_id", "pk", F.get_json_object("json", "$.txn_id").alias("t"), F.get_json_object("json", "$.col").alias("col"))
+    part = lambda k: F.get_json_object("json", f"$.{k}")
+    images = [part(c).cast("double").alias(c) for c in ("before_v", "after_v")]
+    return j.select("txn_id", "pk", part("txn_id").alias("t"), part("pk").alias("p"), part("col").alias("col"), *images, part("op").alias("op"))
 
 
 @query(f"{CTE}, ops AS (SELECT created_txn AS txn_id, o_orderkey AS pk, o_orderstatus, o_orderpriority FROM orders_v), k AS (SELECT ops.* FROM ops JOIN txn_log t USING (txn_id) WHERE t.status = 'committed' AND txn_id > 30) SELECT txn_id, 'insert' AS op, pk, 'o_orderstatus' AS col, o_orderstatus AS value FROM k UNION ALL SELECT txn_id, 'insert', pk, 'o_orderpriority', o_orderpriority FROM k")
@@ -187,6 +207,6 @@ def wal_replay(spark, sf_dir):
     return C.replay(ops, txn_log(spark, sf_dir), 30, ["o_orderstatus", "o_orderpriority"]).drop("stmt")
 
 
-@query("SELECT o_custkey, count(*) AS writes, max(o_orderdate) AS last FROM orders GROUP BY o_custkey HAVING count(*) >= 12")
+@query("SELECT *, CASE WHEN heat >= 5 THEN 'hot' WHEN heat <= 1 THEN 'cold' ELSE 'warm' END AS kind FROM (SELECT o_custkey, count(*) AS writes, round((1 - power(0.875, count(*))) * 8, 6) AS heat FROM orders GROUP BY o_custkey)")
 def write_heat(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("writes"), F.max("o_orderdate").alias("last")).where("writes >= 12")
+    return PO.write_heat(table(spark, sf_dir, "orders"), "o_custkey").withColumn("heat", F.round("heat", 6))

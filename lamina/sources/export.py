@@ -32,21 +32,40 @@ def file_stats(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(*aggs).select("file", "n", F.inline(rows))
 
 
-def export(df: DataFrame, root: str, *, partition_by: tuple[str, ...] = (), compression: str = "zstd") -> int:
-    """Write a new version under ``root`` and publish it; returns its number. Readers see the old one until then."""
+def export(df: DataFrame, root: str, *, partition_by: tuple[str, ...] = (), compression: str = "zstd", second: str | None = None) -> int:
+    """Write a new version under ``root`` and publish it; returns its number. Readers see the old one until then.
+
+    ``second`` names another format, such as orc, in which the version is written too.
+    """
     spark = df.sparkSession
     store = Store(spark, root)
     version = 1 + max([0, *(int(n[1:-5]) for n in store.names("metadata") if n.endswith(".json"))])
     data = f"data/v{version}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).partitionBy(*partition_by).parquet(f"{root}/{data}")
-    stats = file_stats(spark.read.parquet(f"{root}/{data}")).toJSON().collect()  # a row for each file and column: metadata
+    stats = f"metadata/stats-v{version}-{uuid.uuid4().hex}"  # a row for each file and column stays a table: there may be millions
+    file_stats(spark.read.parquet(f"{root}/{data}")).write.parquet(f"{root}/{stats}")
     meta = {"version": version, "data": data, "schema": export_schema(df.schema), "partition_by": list(partition_by), "stats": stats}
+    if second:
+        meta["second"] = f"second/v{version}-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).format(second).save(f"{root}/{meta['second']}")
+        meta["second_format"] = second
     if not store.write_json(f"metadata/v{version}.json", meta):
         raise ConflictError(f"version {version} was published by another writer")
     return version
 
 
-def read_export(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+def metadata(spark: SparkSession, root: str, version: int | None = None) -> dict:
+    """What was published about a version, the newest if none is given."""
     store = Store(spark, root)
     version = version or max(int(n[1:-5]) for n in store.names("metadata") if n.endswith(".json"))
-    return spark.read.parquet(f"{root}/{store.read_json(f'metadata/v{version}.json')['data']}")
+    return store.read_json(f"metadata/v{version}.json")
+
+
+def read_export(spark: SparkSession, root: str, version: int | None = None, *, second: bool = False) -> DataFrame:
+    m = metadata(spark, root, version)
+    return spark.read.format(m["second_format"]).load(f"{root}/{m['second']}") if second else spark.read.parquet(f"{root}/{m['data']}")
+
+
+def read_stats(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """(file, column, n, nulls, nans, lower, upper) of a version."""
+    return spark.read.parquet(f"{root}/{metadata(spark, root, version)['stats']}")

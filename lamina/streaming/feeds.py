@@ -1,14 +1,13 @@
 """Streams: committed changes as they are published, and event-time operators over ``events``.
 
-Changes are read by Spark's file source from the folder of a table's change files: a transaction's
-files appear together, so a transaction is never split by a crash. The event-time operators have
-no counterpart in the versioned tables; they are Spark's, wired for late data.
+Changes are read by Spark's file source from the folder of a table's change files. A transaction's
+files come there by a rename after its commit, so what is open or rolled back is never seen and no
+transaction is split by a crash. The event-time operators have no counterpart in the versioned
+tables; they are Spark's, wired for late data.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +15,10 @@ from lamina.operators.engine import CHANGE_SCHEMA, Table
 
 
 def change_stream(table: Table, since: int = 0) -> DataFrame:
-    """Cell changes after a transaction, unbounded."""
+    """Cell changes of committed transactions after a transaction, unbounded."""
     root = f"{table.engine.store.root}/{table.name}/change"
+    store = table.engine.store
+    store.fs.mkdirs(store.path(f"{table.name}/change"))  # a stream may begin before the first commit
     return table.spark.readStream.schema(CHANGE_SCHEMA).option("recursiveFileLookup", "true").parquet(root).where(F.col("txn_id") > since)
 
 
@@ -27,17 +28,6 @@ def to_kafka(messages: DataFrame, servers: str, checkpoint: str):
     return out.option("checkpointLocation", checkpoint).start()
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream holds now, as a table in memory: for tests and small results."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    return stream.sparkSession.table(name)
-
-
 def events(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders

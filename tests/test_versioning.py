@@ -3,12 +3,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.errors import ConflictError, HistoryUnavailableError, InvalidParameterError, KeyNotFoundError, TimeTravelSyntaxError
+from lamina.errors import ConflictError, DuplicateKeyError, HistoryUnavailableError, InvalidParameterError, KeyNotFoundError, QueryError, TimeTravelSyntaxError
 from lamina.functions import merge as M
 from lamina.functions.visibility import row_is_visible, visible
 from lamina.operators import changes as C
 from lamina.operators import timetravel as TT
 from lamina.operators.engine import Engine
+from lamina.plans.streams import drain
 from lamina.streaming import feeds
 
 #: snapshot, created, deleted, active, commits, visible
@@ -122,7 +123,7 @@ def test_engine_life(spark, engine):
     again = Engine(spark, engine.store.root)
     assert sorted(map(str, again.table("t").scan().collect())) == before
     assert {r.op: r["count"] for r in t.changes().groupBy("op").count().collect()} == {"insert": 33, "update": 2, "delete": 3}
-    assert feeds.drain(feeds.change_stream(t, 2)).count() == 8
+    assert drain(feeds.change_stream(t, 2)).count() == 8
 
 
 def test_engine_errors(spark, engine):
@@ -206,3 +207,140 @@ def test_command_line(engine, capsys):
 
     assert main(["info", engine.store.root]) == 0 and "10 row versions" in capsys.readouterr().out
     assert main([]) == 2
+
+
+def test_lost_updates_are_refused(spark, engine):
+    """Whichever of two transactions commits second is refused: it didn't see what the first has written."""
+    t = engine.table("t")
+    for first, second in ((0, 1), (1, 0)):
+        x = [engine.begin(), engine.begin()]
+        t.update("id = 1", {"v": 111.0 + first}, x[first])
+        engine.commit(x[first])
+        t.update("id = 1", {"v": 222.0}, x[second])
+        with pytest.raises(ConflictError):
+            engine.commit(x[second])
+        assert t.get(1)["v"] == 111.0 + first
+    x = engine.begin()
+    t.update("id = 1", {"v": 5.0}, x)
+    engine.commit(x)
+    assert t.get(1)["v"] == 5.0
+    a, b = engine.begin(), engine.begin("read_committed")
+    t.update("id = 2", {"v": 1.0}, a)
+    engine.commit(a)
+    t.update("id = 2", {"v": F.col("v") + 1}, b)  # sees what was committed, so nothing is lost
+    engine.commit(b)
+    assert t.get(2)["v"] == 2.0
+
+
+def test_another_engine_sees_what_was_written(spark, engine):
+    other = Engine(spark, engine.store.root)
+    mine, theirs = engine.begin(), other.begin()
+    engine.table("t").update("id = 3", {"v": 1.0}, mine)
+    engine.commit(mine)
+    other.counter += 10
+    theirs.txn_id += 10
+    other.active = {theirs.txn_id: theirs}
+    other.table("t").update("id = 3", {"v": 2.0}, theirs)
+    with pytest.raises(ConflictError):
+        other.commit(theirs)
+
+
+def test_open_changes_are_not_streamed(spark, engine):
+    t = engine.table("t")
+    x = engine.begin()
+    t.update("id = 1", {"v": 999.0}, x)
+    assert drain(feeds.change_stream(t)).where("after_v = '999.0'").count() == 0
+    y = engine.begin()
+    t.update("id = 2", {"v": 5.0}, y)
+    engine.rollback(x)
+    engine.commit(y)
+    got = drain(feeds.change_stream(t, 2))
+    assert [(r.pk, r.after_v) for r in got.collect()] == [("2", "5.0")] and t.changes().where("op = 'update'").count() == 1
+
+
+def test_a_crash_leaves_no_changes_behind(spark, engine):
+    t = engine.table("t")
+    x = engine.begin()
+    t.update("id = 1", {"v": 999.0}, x)
+    y = engine.begin()
+    t.update("id = 2", {"v": 5.0}, y)
+    staged = engine.store.names("t/staged")
+    engine._expose = lambda name: None  # the engine dies between its log entry and the rename
+    engine.active.pop(x.txn_id)
+    engine.commit(y)
+    assert len(staged) == 2 and engine.store.names("t/staged") == staged
+    again = Engine(spark, engine.store.root)
+    assert again.store.names("t/staged") == [] and again.table("t").changes().where("op = 'update'").count() == 1
+
+
+def test_keys_are_unique(spark, engine):
+    t, x = engine.table("t"), engine.begin()
+    rows = lambda *keys: spark.createDataFrame([(k,) for k in keys], "id long")
+    for bad in ((5,), (70, 70)):
+        with pytest.raises(DuplicateKeyError):
+            t.insert(rows(*bad), x)
+    t.insert(rows(70, 71), x)
+    engine.commit(x)
+    assert t.count() == 12
+    a, b = engine.begin(), engine.begin()
+    t.insert(rows(80), a)
+    engine.commit(a)
+    t.insert(rows(80), b)  # not visible to it yet
+    with pytest.raises(ConflictError):
+        engine.commit(b)
+
+
+def test_statements_in_sql(spark, engine):
+    assert engine.execute("UPDATE t SET v = v + 1, name = 'a, b = c' WHERE id IN (1, 2) AND name LIKE 'n%'") == 2
+    assert engine.execute("DELETE FROM t WHERE id > 7;") == 2
+    assert engine.execute("INSERT INTO t (id, v) SELECT id + 100, v FROM t WHERE id < 2") == 2
+    assert engine.execute("MERGE INTO t USING (SELECT id + 1 AS id, 'm' AS name, 0.0 AS v FROM t WHERE id >= 7) x ON t.id = x.id WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *") == 3
+    got = {r.id: (r.name, r.v) for r in engine.table("t").scan().collect()}
+    assert got[1] == ("a, b = c", 2.0) and got[100] == (None, 0.0) and got[101] == ("m", 0.0) and got[102] == ("m", 0.0) and got[8] == ("m", 0.0) and len(got) == 12
+    for text in ("UPDATE t SET nothing = 1", "SELECT 1", "INSERT INTO t (id) SELECT 1, 2", "MERGE INTO t USING (SELECT 1 AS id) x ON t.v = x.v WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"):
+        with pytest.raises(QueryError):
+            engine.execute(text)
+    assert not engine.active
+
+
+def test_filters_reach_the_reader(spark, sf):
+    from lamina.plans.registry import load
+
+    plan = load()[0]["scan_pushed"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_shipdate), IsNotNull(l_quantity), GreaterThanOrEqual(l_shipdate" in plan and "l_extendedprice" not in plan
+
+
+def test_arrow_files(spark, tmp_path):
+    import pyarrow as pa
+
+    from lamina.sources.columns import read_ipc
+
+    table = pa.table({"a": [1, 2, 3], "b": ["x", None, "z"]})
+    with pa.ipc.new_file(str(tmp_path / "one.arrow"), table.schema) as w:
+        w.write_table(table)
+    with pa.ipc.new_stream(str(tmp_path / "two.arrow"), table.schema) as w:
+        w.write_table(table.slice(1))
+    got = read_ipc(spark, str(tmp_path), spark.createDataFrame([], "b string, a long").schema)
+    assert sorted(r.a for r in got.collect()) == [1, 2, 2, 3, 3]
+
+
+def test_hot_keys_are_cut(spark):
+    """As-of joins, features and range joins give the same whatever the number of pieces, gaps and ties."""
+    from lamina.functions.stats import column_features
+    from lamina.operators.joins import asof_join, range_join
+
+    r = random.Random(4)
+    left = [(r.choice("ab"), r.randrange(300), i) for i in range(400)]
+    right = [(k, t, f"{k}{t}") for k, t in {(r.choice("abc"), r.randrange(300)) for _ in range(60)}]
+    a, b = spark.createDataFrame(left, "k string, t int, i int"), spark.createDataFrame(right, "k string, t int, w string")
+    for pieces in (1, 7, 64):
+        got = {x.i: x.w for x in asof_join(a, b, by="k", on="t", take=["w"], pieces=pieces).collect()}
+        assert got == {i: max(((u, w) for m, u, w in right if m == k and u <= t), default=(0, None))[1] for k, t, i in left}
+    rows = [(r.choice("xy"), i, r.choice([None, 1, 1, 2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    seen = [sorted(map(str, column_features(df, "v", ["o"], group="g", pieces=p).select("g", "n", "run_avg", "run_max", "sortedness", "null_ratio").collect())) for p in (1, 3, 400)]
+    assert seen[0] == seen[1] == seen[2]
+    ranges = [(i, s, s + r.choice([0, 1, 3, 50, 2000])) for i, s in enumerate(r.sample(range(-500, 3000), 80))]
+    points = [(i, r.randrange(-500, 3000)) for i in range(200)]
+    got = range_join(spark.createDataFrame(points, "p int, at int"), spark.createDataFrame(ranges, "r int, lo int, hi int"), point="at", low="lo", high="hi", bucket=4)
+    assert sorted((x.p, x.r) for x in got.collect()) == sorted((p, i) for p, at in points for i, lo, hi in ranges if lo <= at < hi)
