@@ -4,20 +4,28 @@ Documents become token ids and are laid into windows of ``window`` ids. Whole wi
 document stand alone; what is left of each document, its tail, is packed: a seed tail opens a
 window, a BM25 index over the documents of its shard returns unused neighbours by the words that
 they share, and these fill the window in order of score; the last is cut where the window ends and
-its rest stays available. Document frequencies and the mean length that BM25 needs are those of
-the whole corpus, gathered over hashed words (``TERMS`` counts, a fixed 1 MB that is broadcast).
-
-A shard is a run of at most ``SHARD_DOCS`` documents or ``SHARD_TOKENS`` ids of one input
-partition. Each has its own inverted index, so memory is bounded, nothing is shuffled and a lost
-task repeats alone. A shard's last window, if not full, is divided into runs of a power of two,
-which need no padding.
+its rest stays available. A seed asks with all its words, told apart by 64-bit hashes, but for
+those that are in no other document and stop words, in over ``COMMON`` of all documents. The
+document frequencies and the mean length that BM25 needs are those of the whole corpus; they are
+counted over ``TERMS`` buckets of hashed words, a fixed 4 MB that is broadcast, so words of one
+bucket have one weight.
+
+Shards are by content, not by where documents lie: a document goes where the word with the least
+hash among its words goes, stop words left out, so that two documents meet with a chance equal to
+the share of their words that both have. A word that many documents go by is cut into splits of
+about a task's share. In a task, documents with the same word stand together, and each run of at
+most ``SHARD_DOCS`` documents or ``SHARD_TOKENS`` ids is a shard with its own inverted index, so
+memory is bounded and a lost task repeats alone. A shard's last window, if not full, is divided
+into runs of a power of two, which need no padding.
 
 Ids equal those of the ``tokenizers`` vocabulary file; they are made by ``tiktoken`` from the same
 vocabulary's rank file, several times faster. A text that spells out the special token, which
 ``tokenizers`` reads as that token, goes to ``tokenizers`` itself.
 
-Defined results. Null text: empty, one id (the end mark). Repeated rows are packed each. Very long
-texts are streamed through whole windows. Empty table: no pieces.
+Defined results. Null text: empty, one id (the end mark). Repeated rows are packed each, and so are
+rows of a null or repeated id, which the length of their text and its place tell apart. Equal scores:
+the earlier in the shard. Very long texts are streamed through whole windows. Empty table: no
+pieces. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -32,15 +40,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lamina.llm.common import documents, joined_word_hashes, text_blocks
+from lamina.llm.common import documents, joined_word_hashes, mix64, text_blocks
 
 WINDOW = 2048
 END = 1
-TERMS = 1 << 17
+TERMS = 1 << 19
+COMMON, AT_LEAST = 0.05, 16  # a stop word is in more than this share of documents, and in more than so many
 SHARD_DOCS = 4096
 SHARD_TOKENS = 6_000_000
-QUERY_TERMS = 12
 NEIGHBOURS = 32
 K1, B = 1.2, 0.75
 SPECIAL = "<|endoftext|>"
@@ -71,33 +80,64 @@ def encoder(vocabulary: str, ranks: str):
     return encode
 
 
-def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of some texts, and which text each is of."""
-    words, doc = joined_word_hashes(texts)
-    return (words >> np.uint64(64 - (TERMS - 1).bit_length())).astype(np.int64), doc
+def bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - (TERMS - 1).bit_length())).astype(np.int64)
 
 
-def corpus_statistics(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarray, float]:
-    """idf of each hashed word and the mean number of words, over all documents."""
+def corpus_statistics(docs: DataFrame, *, text: str = "text") -> tuple[np.ndarray, np.ndarray, int, float]:
+    """idf of each bucket of words (0: of no use), its document frequency, the number of documents and their mean number of words."""
 
     def count(batches):
-        df, n, words = np.zeros(TERMS, np.int64), 0, 0
+        df, n, total = np.zeros(TERMS, np.int64), 0, 0
         for batch in batches:
             for _, block in text_blocks(batch.column(0), 200_000):
-                term, doc = terms(block)
+                words, doc = joined_word_hashes(block)
                 n += len(block)
-                words += len(term)
-                pair = np.sort(doc * TERMS + term)
+                total += len(words)
+                pair = np.sort(doc * TERMS + bucket(words))
                 df += np.bincount(pair[np.append(True, pair[1:] != pair[:-1])] % TERMS if len(pair) else pair, minlength=TERMS)
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([df[at], [n, words]]))], names=["term", "n"])
+        columns = [np.concatenate([at, [-1, -2]]).astype(np.int32), np.concatenate([df[at], [n, total]])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["term", "n"])
 
     table = docs.select(F.col(text).alias("t")).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = table["term"].to_numpy(), table["n"].to_numpy()
     df = np.zeros(TERMS)
     df[term[term >= 0]] = n[term >= 0]
-    total = float(n[term == -1].sum())
-    return np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32), float(n[term == -2].sum()) / max(total, 1.0)
+    total = int(n[term == -1].sum())
+    idf = np.log1p((total - df + 0.5) / (df + 0.5))
+    idf[(df < 2) | (df > max(COMMON * total, AT_LEAST))] = 0
+    return idf.astype(np.float32), df.astype(np.int64), total, float(n[term == -2].sum()) / max(total, 1)
+
+
+def by_content(rows: DataFrame, shared, parts: int) -> DataFrame:
+    """``rows`` (k, t) dealt to tasks, and in them in order, by the least-hashed word of their text."""
+
+    @F.arrow_udf("struct<word:long,splits:int>")
+    def lead(texts: pa.Array) -> pa.Array:
+        idf, df, total, _ = shared.value
+        words_out, splits_out = [], []
+        for _, block in text_blocks(texts, 200_000):
+            words, doc = joined_word_hashes(block)
+            of = bucket(words)
+            use = idf[of] > 0
+            words, doc, of = mix64(words[use]), doc[use], of[use]
+            least = np.full(len(block), np.uint64((1 << 64) - 1))
+            np.minimum.at(least, doc, words)
+            splits = np.zeros(len(block), np.int32)
+            chosen = words == least[doc]
+            splits[doc[chosen]] = np.ceil(df[of[chosen]] * (parts / max(total, 1))).astype(np.int32)
+            words_out.append(least.view(np.int64))
+            splits_out.append(splits)
+        columns = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((words_out, np.int64), (splits_out, np.int32))]
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["word", "splits"])
+
+    own = F.xxhash64("k", "t")  # of documents without such words, and of the split
+    rows = rows.withColumn("lead", lead("t")).withColumn("own", own)
+    word = F.when(F.col("lead.splits") > 0, F.col("lead.word")).otherwise(F.col("own"))
+    split = F.when(F.col("lead.splits") > 0, F.pmod("own", F.col("lead.splits").cast("long"))).otherwise(F.lit(0).cast("long"))
+    rows = rows.select("k", "t", word.alias("word"), split.alias("split"), "own")
+    return rows.repartition("word", "split").sortWithinPartitions("word", "own", "k", "t").select("k", "t")
 
 
 class Shard:
@@ -105,39 +145,47 @@ class Shard:
 
     def __init__(self, texts: list[bytes], idf: np.ndarray, mean: float):
         self.n = len(texts)
-        bits = max(1, (self.n - 1).bit_length())
-        keys, length, first_doc, block, size = [], np.zeros(self.n, np.float32), 0, [], 0
+        found, length, first_doc, block, size = [], np.zeros(self.n, np.float32), 0, [], 0
         for i, t in enumerate([*texts, None]):  # in blocks that stay in cache
             if block and (t is None or size + len(t) > 200_000):
-                term, doc = terms(block)
+                words, doc = joined_word_hashes(block)
                 doc = doc + first_doc
                 length += np.bincount(doc, minlength=self.n)
-                keys.append((term << bits) | doc)
+                weight = idf[bucket(words)]
+                use = weight > 0
+                found.append((words[use], doc[use], weight[use]))
                 first_doc, block, size = i, [], 0
             if t is not None:
                 block.append(t)
                 size += len(t)
-        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(first, len(key))).astype(np.float32)
-        self.doc = key[first] & ((1 << bits) - 1)
-        term = key[first] >> bits
-        self.impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / max(mean, 1.0)))
-        # the strongest terms of each document are its query: sorted by document, then falling impact
-        order = np.argsort((self.doc << 32) | (0x7FFFFFFF - self.impact.astype(np.float32).view(np.int32).astype(np.int64)))
-        start = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=self.n))])
-        self.query = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(start[:-1], start[1:])]
-        self.at = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else term
-        self.term = term[self.at]
-        self.at = np.append(self.at, len(term))
+        words, doc, weight = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        order = np.argsort(words, kind="stable")  # documents stay in order
+        words, doc, weight = words[order], doc[order], weight[order]
+        new = np.append(True, (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])) if len(words) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        tf = np.diff(np.append(first, len(words))).astype(np.float32)
+        words, doc, weight = words[first], doc[first], weight[first]
+        lead = np.append(True, words[1:] != words[:-1]) if len(words) else np.zeros(0, bool)
+        term = np.cumsum(lead) - 1
+        shared = np.bincount(term, minlength=1)[term] > 1 if len(term) else lead  # a word of one document finds no other
+        term, doc, tf, weight = term[shared], doc[shared], tf[shared], weight[shared]
+        self.doc = doc
+        self.impact = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean, 1.0)))
+        lead = np.append(True, term[1:] != term[:-1]) if len(term) else np.zeros(0, bool)
+        self.at = np.append(np.flatnonzero(lead), len(term))  # where each word's documents begin
+        slot = np.cumsum(lead) - 1
+        order = np.argsort(doc, kind="stable")
+        self.query = slot[order]  # the words of each document
+        self.asks = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=self.n))]) if len(doc) else np.zeros(self.n + 1, np.int64)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The best-scoring unused documents for a seed, best first; ties by position."""
-        slot = np.searchsorted(self.term, self.query[seed])
+        slot = self.query[self.asks[seed] : self.asks[seed + 1]]
         if not len(slot):
             return slot
-        hits = [slice(self.at[s], self.at[s + 1]) for s in slot]
-        score = np.bincount(np.concatenate([self.doc[h] for h in hits]), np.concatenate([self.impact[h] for h in hits]), minlength=self.n)
+        start, count = self.at[slot], self.at[slot + 1] - self.at[slot]
+        hits = np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
+        score = np.bincount(self.doc[hits], self.impact[hits], minlength=self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
         if len(found) > NEIGHBOURS:
@@ -198,8 +246,8 @@ def powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
 
 def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """A row for each piece; with ``with_ids`` its ids as little-endian unsigned 16-bit."""
-    idf, mean = corpus_statistics(docs, text=text)
-    shared = docs.sparkSession.sparkContext.broadcast((idf, mean))  # TERMS floats, whatever the corpus
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(corpus_statistics(docs, text=text))  # TERMS numbers, whatever the corpus
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.schema[key].dataType
@@ -207,7 +255,7 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: in
 
     def run(batches):
         encode = encoder(vocabulary, ranks)
-        idf, mean = shared.value
+        idf, _, _, mean = shared.value
         sequence = TaskContext.get().partitionId() << 32
         held_key, held_ids, held_text, size = [], [], [], 0
 
@@ -241,10 +289,9 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: in
         if held_key:
             yield from flush()
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in names[1:7]), *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
-    return docs.select(F.col(key), F.col(text).alias("packed_text")).mapInArrow(run, schema)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return by_content(rows, shared, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, schema)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,63 @@ def test_retrieval_prefers_shared_words():
     assert shard.neighbours(0, np.array([False, True, True, True])).tolist() == [2]
 
 
+def test_scores_are_bm25():
+    """With all shared words but stop words, against the formula written out."""
+    r = random.Random(5)
+    texts = [" ".join(f"w{int(r.expovariate(0.03))}" for _ in range(r.randint(5, 80))).encode() for _ in range(60)]
+    words = [t.split() for t in texts]
+    df = {w: sum(w in x for x in words) for x in words for w in x}
+    idf = np.zeros(packing.TERMS, np.float32)
+    for w, n in df.items():
+        if 2 <= n <= 20:
+            idf[packing.bucket(common.word_hashes(w))[0]] = np.log1p((60 - n + 0.5) / (n + 0.5))
+    mean = sum(map(len, words)) / 60
+    shard = packing.Shard(texts, idf, mean)
+    for seed in range(60):
+        want = np.zeros(60)
+        for d in range(60):
+            for w in set(words[seed]) & set(words[d]):
+                tf, weight = words[d].count(w), idf[packing.bucket(common.word_hashes(w))[0]]
+                want[d] += weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[d]) / mean))
+        unused = np.arange(60) != seed
+        got = shard.neighbours(seed, unused)
+        best = sorted((d for d in range(60) if unused[d] and want[d] > 0), key=lambda d: -want[d])[: packing.NEIGHBOURS]
+        assert len(got) == len(best) and np.allclose(want[got], want[best], rtol=1e-4)
+
+
+def test_pii_on_texts_of_other_forms():
+    """Added kinds in sentences that no template of the training set has: few are missed, few others are taken."""
+    r = random.Random(77)
+    d = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    names = ["maria", "john.smith", "k_lee", "office", "info"]
+    trees, limits = pii.model()
+    good = bad = missed = 0
+    for _ in range(300):
+        digits = d(16)
+        yes = [f"You can reach me at {d(3)}-{d(3)}-{d(4)} after six.", f"My number: ({d(3)}) {d(3)}-{d(4)}, ask for Ann", f"Write to {r.choice(names)} [at] example [dot] com please"]
+        no = [f"Part {d(2)}.{d(2)} costs {d(4)}.{d(2)} in total", f"built in 19{d(2)}, sold 2003-10-{r.randint(10, 28)}", f"a run of {digits[:8]} {digits[8:]} units", f"chapter {d(1)}.{d(1)}.{d(1)} and table {d(2)}"]
+        for t in yes:
+            found = pii.find(t, trees, limits)
+            missed += not any(k in ("number", "spelled", "national") for _, _, k in found[1])
+            good += any(k in ("number", "spelled", "national") for _, _, k in found[1])
+        bad += sum(len(pii.find(t, trees, limits)[1]) > 0 for t in no)
+    assert good / (good + missed) >= 0.9 and good / (good + bad) >= 0.9, (good, missed, bad)
+
+
+def test_taken_places():
+    r = random.Random(8)
+    spans = [(a, a + r.randint(1, 9)) for a in (r.randrange(300) for _ in range(30))]
+    taken = common.Taken(spans)
+    held = {i for a, b in spans for i in range(a, b)}
+    for a in range(310):
+        for n in (1, 4):
+            assert taken.meets(a, a + n) == bool(held & set(range(a, a + n)))
+    for a in range(310):
+        if not taken.meets(a, a + 2):
+            taken.add(a, a + 2)
+            assert taken.meets(a, a + 1) and taken.meets(a + 1, a + 2)
+
+
 def test_pii_base_follows_the_patterns():
     def plain(t):
         out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

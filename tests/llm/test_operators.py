@@ -205,6 +205,23 @@ def test_packing_of_odd_tables(odd, empty):
     assert all(len(r.ids) == 2 * r.length for r in ids)
 
 
+def test_packing_brings_topics_together(spark):
+    """Documents of a topic, dealt over all input partitions, share windows."""
+    r = random.Random(12)
+    rows = []
+    for i in range(1200):
+        words = [f"topic{i % 40}w{r.randrange(30)}" for _ in range(60)] + [f"all{r.randrange(40)}" for _ in range(60)]
+        rows.append((i, " ".join(words), "s"))
+    shared = []
+    for parts in (2, 16):
+        out = packing.pack(documents(spark, rows).repartition(parts)).collect()
+        runs = defaultdict(Counter)
+        for x in out:
+            runs[x.sequence_id][x.doc_id % 40] += 1
+        shared.append(sum(max(c.values()) for c in runs.values()) / sum(sum(c.values()) for c in runs.values()))
+    assert min(shared) > 0.6 and abs(shared[0] - shared[1]) < 0.1, shared  # by chance it would be near 1 / 4
+
+
 # embeddings
 
 
@@ -281,6 +298,25 @@ def test_toxicity(spark, sf):
     assert len(got) == docs.count() and labels
 
 
+def test_scores_of_all_documents(spark, sf, docs):
+    """op4 and op6 give each document what their models, fitted alike, say of its whole text alone."""
+    t = texts(docs)
+    lab = spark.read.parquet(f"{sf}/labels.parquet")
+    model, lexicon = toxicity.train(toxicity.training_rows(docs, lab))
+    got = {r.doc_id: r.score for r in run(spark, sf, "op4_toxicity").collect()}
+    want = model.predict(np.array([toxicity.features(x, lexicon, {}) for x in t.values()]))
+    assert np.allclose([got[k] for k in t], want, atol=1e-12)
+    counts = Counter(quality.pattern(quality.votes(quality.profile(x.encode()))) for x in t.values())
+    posterior, _, _ = quality.estimate(dict(counts))
+    w, fitted, _ = quality.fit(docs)
+    assert fitted == pytest.approx(posterior)
+    got = {r.doc_id: r for r in run(spark, sf, "op6_quality").collect()}
+    for k, x in t.items():
+        p = quality.profile(x.encode())
+        assert got[k].score == pytest.approx(quality.score(p, w), abs=1e-4) and got[k].posterior == pytest.approx(posterior[quality.pattern(quality.votes(p))])
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {k for k, r in got.items() if r.kept}
+
+
 def test_toxicity_learns(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(5))
@@ -469,6 +505,67 @@ def test_secrets(spark, odd, empty):
     assert secrets.classify(empty.select("doc_id", "source", "text")).count() == 0
 
 
+def plain_spans(t, patterns):
+    """Spans of a contract's patterns: (kind, pattern, test of a match), in order of start, then kind."""
+    import re
+
+    found = []
+    for place, (kind, pattern, fits) in enumerate(patterns):
+        found += [(m.start(), place, m.end(), kind) for m in re.finditer(pattern, t) if fits(m)]
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(found)]
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+SECRETS = [
+    ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+    ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+]
+PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", lambda m: 12 <= sum(c.isdigit() for c in m[0]) <= 19 and luhn([c for c in m[0] if c.isdigit()])),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= sum(c.isdigit() for c in m[0]) <= 15),
+]
+
+
+@pytest.mark.parametrize(("name", "patterns"), [("op8_secrets", SECRETS), ("op9_pii", PERSONAL)])
+def test_base_spans_of_all_documents(spark, tmp_path, docs, name, patterns):
+    r = random.Random(31)
+    parts = ["password", "Api_Key", "TOKEN", ": ", "=", '"', "'", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "x9/+", " ", "\n", "a@b.org", "10.0.0.1", "4111 1111 1111 1111", "+1 (469) 555-8958", "é"]
+    made = documents(spark, [(10**6 + i, "".join(r.choice(parts) for _ in range(r.randint(1, 30))), "s") for i in range(300)])
+    docs = docs.unionByName(made).cache()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in run(spark, str(tmp_path), name).collect()}
+    assert len(got) == docs.count()
+    for key, t in texts(docs).items():
+        want = plain_spans(t, patterns)
+        assert got[key].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        for kind, _, _ in patterns:
+            assert got[key][f"n_{kind}"] == sum(w.split(":")[0] == kind for w in want)
+        assert set(want) <= set(got[key].spans.split(","))
+    assert sum(len(plain_spans(t, patterns)) for t in texts(docs).values()) > 20
+
+
+def test_ownership_of_all_documents(spark, sf, docs):
+    """Added spans are the candidates that are not copied widely, counted here in plain Python."""
+    repos, owners, per = defaultdict(set), defaultdict(set), {}
+    rows = [(r.doc_id, r.text or "", r.source) for r in docs.collect()]
+    for key, t, source in rows:
+        base = secrets.base_spans(t)
+        per[key] = base + secrets.added_candidates(t, base)
+        for s in per[key]:
+            repos[s[3]].add(source)
+            owners[s[3]].add(t)
+    example = lambda v: len(owners[v]) >= 3 and len(repos[v]) >= 3
+    got = {r.doc_id: r for r in run(spark, sf, "op8_secrets").collect()}
+    for key, spans in per.items():
+        assert got[key].spans == secrets.joined([s for s in spans if s[2] != "key" or not example(s[3])])
+        assert (got[key].n_live, got[key].n_example) == (sum(not example(s[3]) for s in spans), sum(example(s[3]) for s in spans))
+
+
 def test_pii(spark, odd, empty):
     text = "mail a.b@c.org or 10.0.0.1, card 4111 1111 1111 1111, tel +1 (469) 555-8958"
     rows = [(1, text, None), (2, None, None), (3, "nothing", None)]
