@@ -13,7 +13,8 @@ bucket have one weight.
 Shards are by content, not by where documents lie: a document goes where the word with the least
 hash among its words goes, stop words left out, so that two documents meet with a chance equal to
 the share of their words that both have. A word that many documents go by is cut into splits of
-about a task's share. In a task, documents with the same word stand together, and each run of at
+about half a task's share, and into as many more as a document is longer than the mean: very long
+ones have most words and would all go by the same. In a task, documents with the same word stand together, and each run of at
 most ``SHARD_DOCS`` documents or ``SHARD_TOKENS`` ids is a shard with its own inverted index, so
 memory is bounded and a lost task repeats alone. A shard's last window, if not full, is divided
 into runs of a power of two, which need no padding.
@@ -115,10 +116,11 @@ def by_content(rows: DataFrame, shared, parts: int) -> DataFrame:
 
     @F.arrow_udf("struct<word:long,splits:int>")
     def lead(texts: pa.Array) -> pa.Array:
-        idf, df, total, _ = shared.value
+        idf, df, total, mean = shared.value
         words_out, splits_out = [], []
         for _, block in text_blocks(texts, 200_000):
             words, doc = joined_word_hashes(block)
+            size = np.maximum(np.bincount(doc, minlength=len(block)) / max(mean, 1.0), 1.0)
             of = bucket(words)
             use = idf[of] > 0
             words, doc, of = mix64(words[use]), doc[use], of[use]
@@ -126,7 +128,7 @@ def by_content(rows: DataFrame, shared, parts: int) -> DataFrame:
             np.minimum.at(least, doc, words)
             splits = np.zeros(len(block), np.int32)
             chosen = words == least[doc]
-            splits[doc[chosen]] = np.ceil(df[of[chosen]] * (parts / max(total, 1))).astype(np.int32)
+            splits[doc[chosen]] = np.ceil(df[of[chosen]] * size[doc[chosen]] * (2 * parts / max(total, 1))).astype(np.int32)
             words_out.append(least.view(np.int64))
             splits_out.append(splits)
         columns = [np.concatenate(x) if x else np.zeros(0, k) for x, k in ((words_out, np.int64), (splits_out, np.int32))]
