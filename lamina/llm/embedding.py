@@ -3,8 +3,8 @@
 Each pass sorts the distinct vectors lexicographically by the concatenated signs of random
 projections and compares every vector with its next ``WINDOW`` neighbours; pairs whose cosine
 reaches the threshold in double precision are verified links, and components are the union of the
-links of all passes. The number of passes grows with that of distinct vectors, see ``passes_of``.
-Tasks sort ranges; vectors at their borders meet in a second step. Passes find what belongs
+links of all passes. The number of passes grows with that of distinct vectors, see ``passes_of``,
+and with their density, which the first passes measure, see ``passes_for``. Tasks sort ranges; vectors at their borders meet in a second step. Passes find what belongs
 together; the links of a component are then counted whole, without listing pairs: members within
 half the threshold's angle of the component's first vector are all linked with each other (angles
 obey the triangle inequality), and only the others are compared, in blocks, with all members.
@@ -18,7 +18,9 @@ Repeated rows are separate vectors. Empty table: empty result. Other columns pla
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ PASSES = 4  # at least
 TOGETHER = 6  # passes in one shuffle
 WINDOW = 512  # compared as blocks of products of matrices; a wider one takes fewer passes, each of which shuffles all vectors
 RECALL = 0.99  # of pairs at the threshold, which decides the number of passes
+CROWDED, CROWDED_RECALL = 0.01, 0.95  # outside the densest hundredth of the vectors, of pairs wherever they lie
 BITS = 60
 PART = 1024  # members in a block of comparisons
 
@@ -57,6 +60,27 @@ def passes_of(n: int, least: float = 0.9, window: int = WINDOW) -> int:
     return PASSES if one >= 1 else max(PASSES, math.ceil(math.log(1 - RECALL) / math.log(1 - one)))
 
 
+def passes_for(shared: dict[int, int], least: float = 0.9) -> int:
+    """Passes that bring pairs at the threshold together among vectors of measured density.
+
+    ``shared`` counts vectors by the signs that they have in common with the last one of their
+    window: a pair that agrees in one more surely meets. ``RECALL`` holds on average, and
+    ``CROWDED_RECALL`` for all vectors but the most crowded share ``CROWDED``.
+    """
+    bits = np.array(sorted(shared), dtype=np.int64)
+    n = np.array([shared[b] for b in bits], dtype=np.float64)
+    if not n.sum():
+        return 0
+    miss = 1 - (1 - math.acos(least) / math.pi) ** (bits + 1.0)
+    beyond = np.append(np.cumsum(n[::-1])[::-1][1:], 0)  # more crowded ones
+    crowded = miss[np.argmax(beyond <= CROWDED * n.sum())]
+    few = lambda k: (n @ miss**k) / n.sum() <= 1 - RECALL and crowded**k <= 1 - CROWDED_RECALL
+    most = 1
+    while not few(most):
+        most *= 2
+    return bisect.bisect_left(range(1, most + 1), True, key=few) + 1
+
+
 def valid(vector: str = "embedding"):
     v = F.col(vector)
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -82,13 +106,15 @@ def sort_keys(nodes: DataFrame, turns: range) -> DataFrame:
     return nodes.select("node", "v").mapInArrow(run, f"turn int, dim int, key long, node long, v {nodes.schema['v'].dataType.simpleString()}")
 
 
-def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
+def window_links(keyed: DataFrame, least: float, window: int, measured: bool = True) -> DataFrame:
     """(a, b): verified pairs within the window of a pass; a batch hands on a spanning forest of them.
 
     Further rows (part, i, e, turn, dim, node, v) are the first and last ``window`` rows of each
-    partition, i rows from its start and e from its end.
+    partition, i rows from its start and e from its end. Rows (shared, n) count, among vectors
+    without a link in their window, those that share so many leading signs with its last one.
     """
     ends = ["turn", "dim", "node", "v"]
+    names = ["a", "b", "part", "i", "e", *ends, "shared", "n"]
 
     def edge_rows(head, last, n):
         i = np.concatenate([np.arange(len(head)), np.arange(max(len(head), n - len(last)), n)]).astype(np.int32)
@@ -96,7 +122,7 @@ def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
         part = np.full(len(i), TaskContext.get().partitionId(), np.int32)
         none = pa.nulls(len(i), pa.int64())
         for b in t.to_batches():
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(part), pa.array(i), pa.array(n - 1 - i, pa.int32()), *b.columns], names=["a", "b", "part", "i", "e", *ends])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(part), pa.array(i), pa.array(n - 1 - i, pa.int32()), *b.columns, none, none], names=names)
 
     def run(batches):
         tail: tuple | None = None  # the last rows of what came before
@@ -108,31 +134,40 @@ def window_links(keyed: DataFrame, least: float, window: int) -> DataFrame:
             head = own.slice(0, window) if head is None else pa.concat_tables([head, own.slice(0, window - len(head))])
             last = own if last is None else pa.concat_tables([last, own])
             last, n = last.slice(max(0, len(last) - window)), n + len(batch)
-            turn, dim, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            left, right, at = [], [], 0
+            turn, dim, key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            left, right, at, shared = [], [], 0, np.zeros(BITS + 1, np.int64)
             while at < len(node):  # runs of one pass and length
                 other = np.flatnonzero((turn[at:] != turn[at]) | (dim[at:] != dim[at]))
                 end = at + int(other[0]) if len(other) else len(node)
-                x, ids = matrix(batch.column(4).slice(at, end - at), int(dim[at])), node[at:end]
+                x, ids, keys = matrix(batch.column(4).slice(at, end - at), int(dim[at])), node[at:end], key[at:end]
+                alone = np.ones(len(ids), bool)
                 if tail is not None and tail[0] == (turn[at], dim[at]):
-                    x, ids = np.concatenate([tail[1], x]), np.concatenate([tail[2], ids])
+                    x, ids, keys, alone = (np.concatenate(c) for c in zip(tail[1:], (x, ids, keys, alone)))
                 for s in range(0, len(ids), window):
                     i, j = np.nonzero(x[s : s + window] @ x[s : s + 2 * window].T >= least)
                     near = (j > i) & (j <= i + window)
+                    alone[s + i[near]] = alone[s + j[near]] = False
                     a, b = forest(ids[s + i[near]], ids[s + j[near]])
                     left.append(a)
                     right.append(b)
-                tail = ((turn[at], dim[at]), x[-window:], ids[-window:])
+                if measured:
+                    differ = (keys[:-window] ^ keys[window:])[alone[:-window]]
+                    shared += np.bincount(BITS - np.frexp(differ.astype(np.float64))[1], minlength=BITS + 1)[: BITS + 1]
+                tail = ((turn[at], dim[at]), x[-window:], ids[-window:], keys[-window:], alone[-window:])
                 at = end
             if left:
                 a, b = forest(np.concatenate(left), np.concatenate(right))
-                more = [pa.nulls(len(a), own.schema.field(c).type) for c in ends]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int32())] * 3, *more], names=["a", "b", "part", "i", "e", *ends])
+                bits = np.flatnonzero(shared)
+                links, counts = len(a), len(bits)
+                more = [pa.nulls(links + counts, own.schema.field(c).type) for c in ends]
+                pair = [pa.array(np.append(c, bits), pa.int64(), mask=np.arange(links + counts) >= links) for c in (a, b)]
+                count = [pa.array(np.append(a, c), pa.int64(), mask=np.arange(links + counts) < links) for c in (bits, shared[bits])]
+                yield pa.RecordBatch.from_arrays([*pair, *[pa.nulls(links + counts, pa.int32())] * 3, *more, *count], names=names)
         if n:
             yield from edge_rows(head, last, n)
 
     kind = keyed.schema["v"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"a long, b long, part int, i int, e int, turn int, dim int, node long, v {kind}")
+    return keyed.mapInArrow(run, f"a long, b long, part int, i int, e int, turn int, dim int, node long, v {kind}, shared long, n long")
 
 
 def border_rows(edges: DataFrame, passes: int, window: int) -> DataFrame:
@@ -158,13 +193,13 @@ def border_rows(edges: DataFrame, passes: int, window: int) -> DataFrame:
 
 
 def pass_links(nodes: DataFrame, turns: range, least: float, window: int, parts: int) -> DataFrame:
-    """(a, b): the links that some passes find, whatever the number of partitions."""
+    """(a, b): the links that some passes find, whatever the number of partitions; and (shared, n) as of ``window_links``."""
     order = ["turn", "dim", "key", "node"]
     keyed = sort_keys(nodes, turns).repartitionByRange(parts, *order)
     found = cut(window_links(keyed.sortWithinPartitions(*order), least, window))
     borders = border_rows(found.where("part is not null"), turns.stop, window)
-    across = window_links(borders.repartition(max(1, parts), "turn").sortWithinPartitions(*order), least, window)
-    return found.unionByName(across).where("a is not null").select("a", "b")
+    across = window_links(borders.repartition(max(1, parts), "turn").sortWithinPartitions(*order), least, window, measured=False)  # their keys are places
+    return found.unionByName(across).where("a is not null or shared is not null").select("a", "b", "shared", "n")
 
 
 def block_counts(blocks: DataFrame, least: float) -> DataFrame:
@@ -223,14 +258,18 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
             break
     nodes = nodes.drop("c", "d")
     n = nodes.count()
-    passes = passes or passes_of(n, least, window)
+    fixed, passes = passes is not None, passes or passes_of(n, least, window)
     most = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = None
-    for first in range(0, passes, TOGETHER):  # a shuffle has so many copies of the vectors, however many passes there are
-        turns = range(first, min(passes, first + TOGETHER))
+    found, shared, done = None, Counter(), 0
+    while done < passes:
+        turns = range(done, min(passes, done + TOGETHER))  # a shuffle has so many copies of the vectors, however many passes there are
         parts = max(1, min(most, n * len(turns) // (8 * window)))  # ranges of several windows
         some = cut(pass_links(nodes, turns, least, window, parts))
+        for r in some.where("shared is not null").groupBy("shared").agg(F.sum("n").alias("n")).collect():  # at most BITS + 1 rows
+            shared[r.shared] += r.n
         found = some if found is None else found.unionByName(some)
+        done = turns.stop
+        passes = passes if fixed else max(passes, passes_for(shared, least))
     comp = cut(components(found))
 
     # whole counts in each component of two or more nodes

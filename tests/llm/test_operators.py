@@ -275,6 +275,36 @@ def test_embeddings_loose_pairs(spark):
     assert sum(got[i + n].component_id == i and got[i].n_links > 0 for i in range(n)) > 0.98 * n
 
 
+def test_passes_follow_density():
+    """Evenly spread vectors need about the passes that their number asks for; crowded ones more, also where they are few."""
+    even = {b: n for b, n in enumerate((500, 500, 1000, 2000, 4100, 3600))}
+    few = embedding.passes_for(even)
+    assert 0 <= few - embedding.passes_of(20_000) <= 3
+    assert embedding.passes_for({**even, 14: 300}) > 2 * few
+    assert embedding.passes_for({**even, 14: 100}) < 2 * few  # less than a hundredth
+    assert embedding.passes_for({}) == 0
+
+
+def test_embeddings_in_a_dense_region(spark):
+    """Loose pairs are found among vectors that all lie near each other, but too far to be linked."""
+    rng, n, pairs, dim = np.random.default_rng(9), 9_000, 300, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    middle = unit(rng.standard_normal((1, dim)))
+    away = rng.standard_normal((n, dim))
+    region = math.sqrt(0.75) * middle + 0.5 * unit(away - (away @ middle.T) * middle)
+    first = region[:pairs]
+    other = rng.standard_normal((pairs, dim))
+    other = 0.905 * first + math.sqrt(1 - 0.905**2) * unit(other - (other * first).sum(1, keepdims=True) * first)
+    x = np.concatenate([region, other, rng.standard_normal((3_000, dim))]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding.near_vectors(df).collect()}
+    y = unit(x.astype(np.float64))
+    want = [int((y[i : i + 1] @ y.T >= 0.9).sum()) - 1 for i in range(len(y))]
+    linked = [i for i, k in enumerate(want) if k]
+    assert len(linked) >= 2 * pairs and all(got[i] <= k for i, k in enumerate(want))
+    assert sum(got[i] == want[i] for i in linked) > 0.98 * len(linked)
+
+
 def test_embeddings_borders(spark):
     """What a pass finds does not depend on the number of partitions, however few rows they have."""
     rng = np.random.default_rng(4)
