@@ -16,6 +16,7 @@ from lamina.plans.fixtures import CTE, SNAPSHOT, orders_delta, orders_v, seen, t
 from lamina.plans.registry import query, table as t
 from lamina.plans.versioned import _FEED, _feed
 from lamina.sources import columns as places
+from lamina.sources import iceberg
 from lamina.sources.export import export, export_schema, read_export, read_stats
 
 # snapshots
@@ -320,6 +321,17 @@ def export_versions(s, d):
     return count(read_export(s, root, first), first).union(count(read_export(s, root), second))
 
 
+@query("SELECT p_partkey, p_name, p_size, 1 AS snapshot FROM part UNION ALL SELECT p_partkey, p_name, p_size, 2 FROM part WHERE p_size > 25")
+def export_iceberg(s, d):
+    """Both snapshots of a table, found through its Iceberg metadata alone."""
+    root, part = _root(s), t(s, d, "part").select("p_partkey", "p_name", "p_size")
+    export(part, root)
+    first = iceberg.publish(s, root)
+    export(part.where("p_size > 25"), root)
+    iceberg.publish(s, root)
+    return iceberg.read(s, root, first).withColumn("snapshot", F.lit(1)).union(iceberg.read(s, root).withColumn("snapshot", F.lit(2)))
+
+
 @query("SELECT ordinal_position AS id, column_name AS name FROM information_schema.columns WHERE table_name = 'part'")
 def export_fields(s, d):
     return s.createDataFrame([(f["id"], f["name"]) for f in export_schema(t(s, d, "part").schema)], "id int, name string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,11 @@ def file_stats(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(*aggs).select("file", "n", F.inline(rows))
 
 
+def versions(store: Store) -> list[int]:
+    """The numbers of the versions that were published."""
+    return [int(m[1]) for n in store.names("metadata") if (m := re.fullmatch(r"v(\d+)\.json", n))]
+
+
 def export(df: DataFrame, root: str, *, partition_by: tuple[str, ...] = (), compression: str = "zstd", second: str | None = None) -> int:
     """Write a new version under ``root`` and publish it; returns its number. Readers see the old one until then.
 
@@ -39,7 +45,7 @@ def export(df: DataFrame, root: str, *, partition_by: tuple[str, ...] = (), comp
     """
     spark = df.sparkSession
     store = Store(spark, root)
-    version = 1 + max([0, *(int(n[1:-5]) for n in store.names("metadata") if n.endswith(".json"))])
+    version = 1 + max([0, *versions(store)])
     data = f"data/v{version}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).partitionBy(*partition_by).parquet(f"{root}/{data}")
     stats = f"metadata/stats-v{version}-{uuid.uuid4().hex}"  # a row for each file and column stays a table: there may be millions
@@ -57,7 +63,7 @@ def export(df: DataFrame, root: str, *, partition_by: tuple[str, ...] = (), comp
 def metadata(spark: SparkSession, root: str, version: int | None = None) -> dict:
     """What was published about a version, the newest if none is given."""
     store = Store(spark, root)
-    version = version or max(int(n[1:-5]) for n in store.names("metadata") if n.endswith(".json"))
+    version = version or max(versions(store))
     return store.read_json(f"metadata/v{version}.json")
 
 

@@ -45,6 +45,21 @@ class Store:
             stream.close()
         return bool(self.fs.rename(self.path(part), self.path(name)))
 
+    def read_bytes(self, name: str) -> bytes:
+        stream = self.fs.open(self.path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def write_bytes(self, name: str, value: bytes) -> None:
+        """Write or replace a file."""
+        stream = self.fs.create(self.path(name), True)
+        try:
+            stream.write(bytearray(value))
+        finally:
+            stream.close()
+
     def rename(self, old: str, new: str) -> None:
         self.fs.mkdirs(self.path(new).getParent())
         if not self.fs.rename(self.path(old), self.path(new)):

@@ -1,10 +1,14 @@
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import policy as PO
 from lamina.functions import routing as R
 from lamina.operators.joins import asof_join, range_join
+from lamina.sources import iceberg
 from lamina.sources.export import export, export_schema, read_export
+from lamina.sources.files import Store
 
 
 def test_routes():
@@ -53,3 +57,40 @@ def test_plans_push_down(spark, sf):
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
     plan = load()[0]["q6"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull" in plan and "l_orderkey" not in plan.split("ReadSchema")[1]
+
+
+def test_iceberg_metadata(spark, tmp_path):
+    root = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a", 0.5, True), (-7, None, float("nan"), False), (300, "äz", -2.0, None)], "id long, s string, x double, ok boolean").coalesce(1)
+    export(df, root)
+    first = iceberg.publish(spark, root)
+    export(df.where("id > 0").select("id", F.lit("new").alias("more"), "s"), root)
+    second = iceberg.publish(spark, root)
+    assert sorted(r.id for r in iceberg.read(spark, root).collect()) == [1, 300]
+    assert sorted(r.id for r in iceberg.read(spark, root, first).collect()) == [-7, 1, 300]
+    store = Store(spark, root)
+    table = store.read_json("metadata/v2.metadata.json")
+    assert table["current-snapshot-id"] == second and [s["sequence-number"] for s in table["snapshots"]] == [1, 2]
+    assert [[(f["id"], f["name"]) for f in x["fields"]] for x in table["schemas"]] == [[(1, "id"), (2, "s"), (3, "x"), (4, "ok")], [(1, "id"), (5, "more"), (2, "s")]]
+    (manifest,) = iceberg.read_avro(store, table["snapshots"][0]["manifest-list"])
+    path = manifest.get("manifest_path").toString()
+    assert manifest.get("manifest_length") == store.fs.getFileStatus(store.jvm.org.apache.hadoop.fs.Path(path)).getLen() and manifest.get("added_rows_count") == 3
+    (entry,) = iceberg.read_avro(store, path)
+    file = entry.get("data_file")
+    counts = lambda name: {p.get("key"): p.get("value") for p in file.get(name)}
+    assert (file.get("record_count"), counts("null_value_counts"), counts("nan_value_counts")) == (3, {1: 0, 2: 1, 3: 0, 4: 1}, {3: 1})
+    low, high = ({k: bytes(v.array()) for k, v in counts(n).items()} for n in ("lower_bounds", "upper_bounds"))
+    assert low == {1: (-7).to_bytes(8, "little", signed=True), 2: b"a", 3: struct.pack("<d", -2.0), 4: b"\0"}
+    assert high == {1: (300).to_bytes(8, "little"), 2: "äz".encode(), 3: struct.pack("<d", 0.5), 4: b"\1"}
+    empty = str(tmp_path / "empty")
+    export(df.limit(0), empty)
+    iceberg.publish(spark, empty)
+    assert iceberg.read(spark, empty).count() == 0 and iceberg.read(spark, empty).columns == df.columns
+    with pytest.raises(FileExistsError):
+        iceberg.publish(spark, root, 1)
+    export(df.select(F.col("id").cast("string"), "s"), root)
+    with pytest.raises(ValueError, match="was long"):
+        iceberg.publish(spark, root)
+    export(df, str(tmp_path / "p"), partition_by=("id",))
+    with pytest.raises(ValueError, match="unpartitioned"):
+        iceberg.publish(spark, str(tmp_path / "p"))
