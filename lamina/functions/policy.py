@@ -121,3 +121,35 @@ def range_reduce(segments: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Segments both hot and re-read: 0.6 hot + 0.4 overlap, best first."""
     hot = segments.where((F.col("hot") > threshold) & (F.col("overlap") > threshold))
     return hot.withColumn("score", F.col("hot") * 0.6 + F.col("overlap") * 0.4).orderBy(F.col("score").desc(), "segment")
+
+
+def rewrite_keys(log: DataFrame) -> DataFrame:
+    """(table, column, weight): the column by which a rewrite should sort, the one whose filters (table, column, share) spare most rows.
+
+    Ties go to the first name.
+    """
+    spared = log.groupBy("table", "column").agg(F.sum(1 - F.col("share")).alias("weight"))
+    best = F.max_by(F.struct("column", "weight"), F.struct("weight", _backwards("column"))).alias("best_key")
+    return spared.groupBy("table").agg(best).select("table", "best_key.*")
+
+
+def _backwards(name: str) -> Column:
+    """Greater for names that come first."""
+    return F.transform(F.split(F.col(name), ""), lambda c: -F.ascii(c))
+
+
+def io_schedule(tasks: DataFrame, bytes_per_second: float) -> DataFrame:
+    """``tasks`` (device, priority, seq, size_bytes) with ``begin_second``: each device spends its tokens by priority, then in order.
+
+    A row is a file or segment to flush or rewrite, so a device's queue is metadata.
+    """
+    before = Window.partitionBy("device").orderBy("priority", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return tasks.withColumn("begin_second", F.coalesce(F.sum("size_bytes").over(before), F.lit(0)) / bytes_per_second)
+
+
+def commit_groups(log: DataFrame, window_ms: int = 50, most: int = 100) -> DataFrame:
+    """(window, part, n, last): commits (ts, seq) synced together, those of a time window, at most so many at once."""
+    window = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (window_ms * 1000)).alias("window")
+    x = log.select(window, "seq")
+    place = F.row_number().over(Window.partitionBy("window").orderBy("seq")) - 1
+    return x.withColumn("part", F.floor(place / most)).groupBy("window", "part").agg(F.count("*").alias("n"), F.max("seq").alias("last"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,3 +142,87 @@ def observed_share(log: DataFrame, *, window: int = WINDOW) -> DataFrame:
 def segment_feedback(log: DataFrame) -> DataFrame:
     """(segment, queries, hit_ratio, staleness) of a log (segment, hit); staleness is the share of misses."""
     return log.groupBy("segment").agg(F.count("*").alias("queries"), F.avg(F.col("hit").cast("double")).alias("hit_ratio")).withColumn("staleness", 1 - F.col("hit_ratio"))
+
+
+# --- learned routes: advice of a linear model, on no path to a result --------------------------------
+
+# Kinds of queries, numbers of a query, the scales that bring them into 0 to 1.
+KINDS = ["point_get", "range_scan", "full_scan", "aggregate"]
+FEATURES = [*(f"is_{k}" for k in KINDS), "f_share", "f_rows", "f_filters", "f_columns", "f_deltas"]
+MOST_ROWS_LOG10 = 9
+MOST_FILTERS = 20
+MOST_COLUMNS = 64
+MOST_DELTAS = 1024
+FILTERS_FROM_SHARE = [(0.9, 0), (0.5, 1), (0.1, 2), (0.01, 3), (0.001, 4)]
+SHADOW_SHARE = 0.05
+MERGE_MARGIN = 0.1
+
+
+def filters_of(share: Column) -> Column:
+    """How many filters a share of rows suggests: the fewer rows, the more."""
+    (first, n), *rest = FILTERS_FROM_SHARE
+    out = F.when(share >= first, n)
+    for least, n in rest:
+        out = out.when(share >= least, n)
+    return out.otherwise(5)
+
+
+def plan_features(kind: Column, share: Column, rows: Column, columns: Column, deltas: Column) -> Column:
+    """A query's ``FEATURES`` as an array: its kind, then its numbers on scales of 0 to 1."""
+    within = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    scaled = lambda x, most: within(F.log2(x + 1) / np.log2(most).item())
+    return F.array(
+        *((kind == k).cast("double") for k in KINDS), within(share), within(F.log10(rows + 1) / MOST_ROWS_LOG10),
+        scaled(filters_of(share), MOST_FILTERS), scaled(columns, MOST_COLUMNS), scaled(deltas, MOST_DELTAS),
+    )
+
+
+def pooled(nodes: DataFrame, plan: str) -> DataFrame:
+    """(plan, f): the mean features of a plan's nodes (plan, f)."""
+    means = F.array(*(F.avg(F.get("f", F.lit(i))) for i in range(len(FEATURES))))
+    return nodes.groupBy(plan).agg(means.alias("f"))
+
+
+def fit(log: DataFrame, paths: list[str]) -> dict[str, np.ndarray]:
+    """Least squares of each path's times on the features: weights and, last, a constant.
+
+    ``log`` has ``f`` and a column of times for each path; a row without one of them counts for the others.
+    Sums of products are all that leaves the executors.
+    """
+    x = [*(F.get("f", F.lit(i)) for i in range(len(FEATURES))), F.lit(1.0)]
+    k = len(x)
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    model = {}
+    for path in paths:
+        seen = log.where(F.col(path).isNotNull() & F.col("f").isNotNull())
+        r = seen.agg(*(F.sum(x[i] * x[j]) for i, j in cells), *(F.sum(x[i] * F.col(path)) for i in range(k))).first()
+        square = np.zeros((k, k))
+        for (i, j), v in zip(cells, r):
+            square[i, j] = square[j, i] = v or 0.0
+        model[path] = np.linalg.lstsq(square, np.array([v or 0.0 for v in r[len(cells) :]]), rcond=1e-12)[0]
+    return model
+
+
+def predicted(model: dict[str, np.ndarray]) -> dict[str, Column]:
+    """Each path's predicted time, from ``f``."""
+    term = lambda w: sum((F.get("f", F.lit(i)) * float(a) for i, a in enumerate(w[:-1])), F.lit(float(w[-1])))
+    return {path: term(w) for path, w in model.items()}
+
+
+def learned_path(cost: dict[str, Column]) -> Column:
+    """The path of least cost; merge only if it beats the others by a margin."""
+    delta, columnar, merge = cost["delta"], cost["columnar"], cost["merge"]
+    clear = merge < F.least(delta, columnar) * (1 - MERGE_MARGIN)
+    return F.when(clear, "merge").when(delta <= columnar, "delta").otherwise("columnar")
+
+
+def shadowed(query: Column, share: float = SHADOW_SHARE) -> Column:
+    """Whether a query's other path is timed too: a fixed share of all, chosen by the query's hash."""
+    return F.conv(F.substring(F.md5(query.cast("string")), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
+
+
+def shadow_evidence(log: DataFrame) -> DataFrame:
+    """(table, n, agreement, saved_ms) of queries (table, chosen, chosen_ms, other_ms) timed on both paths: how often the choice was the faster."""
+    good = (F.col("chosen_ms") <= F.col("other_ms")).cast("double")
+    saved = F.avg(F.greatest(F.col("chosen_ms") - F.col("other_ms"), F.lit(0.0)))
+    return log.groupBy("table").agg(F.count("*").alias("n"), F.avg(good).alias("agreement"), saved.alias("saved_ms"))

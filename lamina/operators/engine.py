@@ -506,8 +506,8 @@ class Table:
 
     # maintenance
 
-    def compact(self, horizon: int | None = None, *, files: int = 1) -> None:
-        """Rewrite all versions into ``files`` sorted by key, without those that are dead at the horizon.
+    def compact(self, horizon: int | None = None, *, files: int = 1, by: str | None = None) -> None:
+        """Rewrite all versions into ``files`` sorted by key, or by the column that queries filter on, without those that are dead at the horizon.
 
         Reads at or after the horizon give the same rows as before; earlier ones are refused.
         """
@@ -524,7 +524,8 @@ class Table:
             dead = self.spark.read.parquet(*(f"{root}/{f['path']}" for f in gone)).join(ids, F.col("gone_txn") == F.col("seen_txn"), "left_semi")
             after = F.struct("gone_txn", "gone_stmt") > F.struct("created_txn", "stmt")
             rows = rows.join(dead, (F.col(self.key) == F.col("gone_key")) & after, "left_anti")
-        new = self._write(rows.repartitionByRange(files, self.key).sortWithinPartitions(self.key), "base", min(f["txn_id"] for f in base))
+        order = [by, self.key] if by else [self.key]
+        new = self._write(rows.repartitionByRange(files, *order).sortWithinPartitions(*order), "base", min(f["txn_id"] for f in base))
         # a tombstone may go if all it could hide was rewritten and its transaction counts at the horizon
         counted = {i for i, (s, c) in self.engine.finished.items() if s == "committed" and c <= at}
         drop = [f["path"] for f in base] + [f["path"] for f in gone if f["txn_id"] in counted]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-MODULES = ["filters", "versioned", "relational", "scalar", "tpch", "statistics", "engine", "streams", "inventory"]
+MODULES = ["filters", "versioned", "relational", "scalar", "tpch", "statistics", "engine", "streams", "inventory", "encodings"]
 
 
 def query(sql: str | None = None, name: str | None = None):
