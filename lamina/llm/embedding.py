@@ -3,7 +3,9 @@
 Each pass sorts the distinct vectors lexicographically by the concatenated signs of random
 projections and compares every vector with its next ``WINDOW`` neighbours; pairs whose cosine
 reaches the threshold in double precision are verified links, and components are the union of the
-links of all passes. The number of passes grows with that of distinct vectors, see ``passes_of``,
+links of all passes. Passes carry vectors rounded to 16 bits a component: a bound on the rounding
+says for nearly all pairs on which side of the threshold they lie, and the vectors themselves are
+fetched for the few that it leaves open. The number of passes grows with that of distinct vectors, see ``passes_of``,
 and with their density, which the first passes measure, see ``passes_for``. Tasks sort ranges; vectors at their borders meet in a second step. Passes find what belongs
 together; the links of a component are then counted whole, without listing pairs: members within
 half the threshold's angle of the component's first vector are all linked with each other (angles
@@ -25,7 +27,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm.common import components, cut, forest
@@ -37,6 +39,8 @@ RECALL = 0.99  # of pairs at the threshold, which decides the number of passes
 CROWDED, CROWDED_RECALL = 0.01, 0.95  # outside the densest hundredth of the vectors, of pairs wherever they lie
 BITS = 60
 PART = 1024  # members in a block of comparisons
+FINEST = 32767  # the largest component of a rounded vector
+BROADCAST_ROWS = 200_000  # pairs left open by rounding, of 16 bytes, up to which they are broadcast to the vectors
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -46,6 +50,25 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def rounded(x: np.ndarray) -> pa.Array:
+    """Unit vectors as 16-bit whole numbers, the largest component of each at ``FINEST``."""
+    q = np.ascontiguousarray(np.rint(x * (FINEST / np.abs(x).max(axis=1, keepdims=True))).astype("<i2"))
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (2 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(q)])
+
+
+def unrounded(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of ``rounded`` ones of ``dim`` components, and how far at most each lies from the vector that was rounded.
+
+    A component is off by half a unit, a vector of length one by half the root of ``dim`` over the
+    rounded vector's length; both being made unit vectors again at most doubles that.
+    """
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    q = np.frombuffer(column.buffers()[2], "<i2", len(column) * dim, int(first)).reshape(-1, dim).astype(np.float64)
+    size = np.sqrt((q * q).sum(axis=1))
+    return q / size[:, None], math.sqrt(dim) / size * (1 + 1e-6) + 1e-9
+
+
 def projections(dim: int, turn: int) -> np.ndarray:
     return np.random.default_rng([turn, dim]).standard_normal((dim, BITS))
 
@@ -88,7 +111,7 @@ def valid(vector: str = "embedding"):
 
 
 def sort_keys(nodes: DataFrame, turns: range) -> DataFrame:
-    """(turn, dim, key, node, v): one row of each node for each pass of ``turns``."""
+    """(turn, dim, key, node, v): one row of each node, its vector rounded, for each pass of ``turns``."""
 
     def run(batches):
         for batch in batches:
@@ -98,23 +121,24 @@ def sort_keys(nodes: DataFrame, turns: range) -> DataFrame:
                 at = np.flatnonzero(dims == dim)
                 own_node, own = node.take(pa.array(at)), v.take(pa.array(at))
                 x = matrix(own, int(dim))
+                q = rounded(x)
                 for turn in turns:
                     key = ((x @ projections(int(dim), turn)) > 0).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                     n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, turn, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(key), own_node, own], names=["turn", "dim", "key", "node", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, turn, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(key), own_node, q], names=["turn", "dim", "key", "node", "v"])
 
-    return nodes.select("node", "v").mapInArrow(run, f"turn int, dim int, key long, node long, v {nodes.schema['v'].dataType.simpleString()}")
+    return nodes.select("node", "v").mapInArrow(run, "turn int, dim int, key long, node long, v binary")
 
 
 def window_links(keyed: DataFrame, least: float, window: int, measured: bool = True) -> DataFrame:
-    """(a, b): verified pairs within the window of a pass; a batch hands on a spanning forest of them.
+    """(a, b): pairs within the window of a pass that surely link; a batch hands on a spanning forest of them.
 
-    Further rows (part, i, e, turn, dim, node, v) are the first and last ``window`` rows of each
+    Pairs that rounding leaves open are marked in ``ask``, each of them handed on. Further rows (part, i, e, turn, dim, node, v) are the first and last ``window`` rows of each
     partition, i rows from its start and e from its end. Rows (shared, n) count, among vectors
     without a link in their window, those that share so many leading signs with its last one.
     """
     ends = ["turn", "dim", "node", "v"]
-    names = ["a", "b", "part", "i", "e", *ends, "shared", "n"]
+    names = ["a", "b", "ask", "part", "i", "e", *ends, "shared", "n"]
 
     def edge_rows(head, last, n):
         i = np.concatenate([np.arange(len(head)), np.arange(max(len(head), n - len(last)), n)]).astype(np.int32)
@@ -122,7 +146,8 @@ def window_links(keyed: DataFrame, least: float, window: int, measured: bool = T
         part = np.full(len(i), TaskContext.get().partitionId(), np.int32)
         none = pa.nulls(len(i), pa.int64())
         for b in t.to_batches():
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(part), pa.array(i), pa.array(n - 1 - i, pa.int32()), *b.columns, none, none], names=names)
+            ask = pa.nulls(len(i), pa.bool_())
+            yield pa.RecordBatch.from_arrays([none, none, ask, pa.array(part), pa.array(i), pa.array(n - 1 - i, pa.int32()), *b.columns, none, none], names=names)
 
     def run(batches):
         tail: tuple | None = None  # the last rows of what came before
@@ -135,39 +160,49 @@ def window_links(keyed: DataFrame, least: float, window: int, measured: bool = T
             last = own if last is None else pa.concat_tables([last, own])
             last, n = last.slice(max(0, len(last) - window)), n + len(batch)
             turn, dim, key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            left, right, at, shared = [], [], 0, np.zeros(BITS + 1, np.int64)
+            left, right, open_left, open_right, at, shared = [], [], [], [], 0, np.zeros(BITS + 1, np.int64)
             while at < len(node):  # runs of one pass and length
                 other = np.flatnonzero((turn[at:] != turn[at]) | (dim[at:] != dim[at]))
                 end = at + int(other[0]) if len(other) else len(node)
-                x, ids, keys = matrix(batch.column(4).slice(at, end - at), int(dim[at])), node[at:end], key[at:end]
-                alone = np.ones(len(ids), bool)
+                x, off = unrounded(batch.column(4).slice(at, end - at), int(dim[at]))
+                ids, keys, alone = node[at:end], key[at:end], np.ones(end - at, bool)
                 if tail is not None and tail[0] == (turn[at], dim[at]):
-                    x, ids, keys, alone = (np.concatenate(c) for c in zip(tail[1:], (x, ids, keys, alone)))
+                    x, off, ids, keys, alone = (np.concatenate(c) for c in zip(tail[1:], (x, off, ids, keys, alone)))
+                slack = 2 * off.max()
                 for s in range(0, len(ids), window):
-                    i, j = np.nonzero(x[s : s + window] @ x[s : s + 2 * window].T >= least)
+                    cosine = x[s : s + window] @ x[s : s + 2 * window].T
+                    i, j = np.nonzero(cosine >= least - slack)
                     near = (j > i) & (j <= i + window)
-                    alone[s + i[near]] = alone[s + j[near]] = False
-                    a, b = forest(ids[s + i[near]], ids[s + j[near]])
+                    i, j = i[near], j[near]
+                    c, room = cosine[i, j], off[s + i] + off[s + j]
+                    sure, can = c - room >= least, c + room >= least
+                    alone[s + i[can]] = alone[s + j[can]] = False
+                    a, b = forest(ids[s + i[sure]], ids[s + j[sure]])
                     left.append(a)
                     right.append(b)
+                    open_left.append(ids[s + i[can & ~sure]])
+                    open_right.append(ids[s + j[can & ~sure]])
                 if measured:
                     differ = (keys[:-window] ^ keys[window:])[alone[:-window]]
                     shared += np.bincount(BITS - np.frexp(differ.astype(np.float64))[1], minlength=BITS + 1)[: BITS + 1]
-                tail = ((turn[at], dim[at]), x[-window:], ids[-window:], keys[-window:], alone[-window:])
+                tail = ((turn[at], dim[at]), x[-window:], off[-window:], ids[-window:], keys[-window:], alone[-window:])
                 at = end
             if left:
                 a, b = forest(np.concatenate(left), np.concatenate(right))
                 bits = np.flatnonzero(shared)
-                links, counts = len(a), len(bits)
-                more = [pa.nulls(links + counts, own.schema.field(c).type) for c in ends]
-                pair = [pa.array(np.append(c, bits), pa.int64(), mask=np.arange(links + counts) >= links) for c in (a, b)]
-                count = [pa.array(np.append(a, c), pa.int64(), mask=np.arange(links + counts) < links) for c in (bits, shared[bits])]
-                yield pa.RecordBatch.from_arrays([*pair, *[pa.nulls(links + counts, pa.int32())] * 3, *more, *count], names=names)
+                asks, counts = sum(map(len, open_left)), len(bits)
+                a, b = np.concatenate([a, *open_left]), np.concatenate([b, *open_right])
+                rows, links = len(a) + counts, len(a)
+                ask = np.arange(rows) >= links - asks
+                more = [pa.nulls(rows, own.schema.field(c).type) for c in ends]
+                pair = [pa.array(np.append(c, bits), pa.int64(), mask=np.arange(rows) >= links) for c in (a, b)]
+                count = [pa.array(np.append(a, c), pa.int64(), mask=np.arange(rows) < links) for c in (bits, shared[bits])]
+                marks = pa.array(ask, mask=np.arange(rows) >= links)
+                yield pa.RecordBatch.from_arrays([*pair, marks, *[pa.nulls(rows, pa.int32())] * 3, *more, *count], names=names)
         if n:
             yield from edge_rows(head, last, n)
 
-    kind = keyed.schema["v"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"a long, b long, part int, i int, e int, turn int, dim int, node long, v {kind}, shared long, n long")
+    return keyed.mapInArrow(run, "a long, b long, ask boolean, part int, i int, e int, turn int, dim int, node long, v binary, shared long, n long")
 
 
 def border_rows(edges: DataFrame, passes: int, window: int) -> DataFrame:
@@ -192,6 +227,21 @@ def border_rows(edges: DataFrame, passes: int, window: int) -> DataFrame:
     return rows.select((F.col("border") * passes + F.col("turn")).alias("turn"), "dim", key.alias("key"), "node", "v")
 
 
+def cosine(a: str, b: str) -> Column:
+    """The cosine of two columns of vectors in double precision."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / F.sqrt(dot(a, a)) / F.sqrt(dot(b, b))
+
+
+def verified(asked: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of ``asked`` that link by the vectors of their nodes."""
+    ids = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = F.broadcast(ids) if asked.count() <= BROADCAST_ROWS else ids
+    vectors = cut(nodes.select("node", "v").join(ids, "node", "left_semi"))
+    of = lambda c: vectors.select(F.col("node").alias(c), F.col("v").alias(f"v{c}"))
+    return asked.join(of("a"), "a").join(of("b"), "b").where(cosine("va", "vb") >= least).select("a", "b")
+
+
 def pass_links(nodes: DataFrame, turns: range, least: float, window: int, parts: int) -> DataFrame:
     """(a, b): the links that some passes find, whatever the number of partitions; and (shared, n) as of ``window_links``."""
     order = ["turn", "dim", "key", "node"]
@@ -199,7 +249,12 @@ def pass_links(nodes: DataFrame, turns: range, least: float, window: int, parts:
     found = cut(window_links(keyed.sortWithinPartitions(*order), least, window))
     borders = border_rows(found.where("part is not null"), turns.stop, window)
     across = window_links(borders.repartition(max(1, parts), "turn").sortWithinPartitions(*order), least, window, measured=False)  # their keys are places
-    return found.unionByName(across).where("a is not null or shared is not null").select("a", "b", "shared", "n")
+    both = cut(found.unionByName(across).where("a is not null or shared is not null").select("a", "b", "ask", "shared", "n"))
+    out = both.where("ask is null or not ask").select("a", "b", "shared", "n")
+    asked = cut(both.where("ask").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if asked.isEmpty():
+        return out
+    return out.unionByName(verified(asked, nodes, least), allowMissingColumns=True)
 
 
 def block_counts(blocks: DataFrame, least: float) -> DataFrame:
@@ -264,7 +319,7 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
     while done < passes:
         turns = range(done, min(passes, done + TOGETHER))  # a shuffle has so many copies of the vectors, however many passes there are
         parts = max(1, min(most, n * len(turns) // (8 * window)))  # ranges of several windows
-        some = cut(pass_links(nodes, turns, least, window, parts))
+        some = pass_links(nodes, turns, least, window, parts)
         for r in some.where("shared is not null").groupBy("shared").agg(F.sum("n").alias("n")).collect():  # at most BITS + 1 rows
             shared[r.shared] += r.n
         found = some if found is None else found.unionByName(some)
@@ -275,9 +330,7 @@ def near_vectors(rows: DataFrame, *, key: str = "vec_id", vector: str = "embeddi
     # whole counts in each component of two or more nodes
     members = cut(comp.join(nodes, "node"))
     first = members.where("node = root").select("root", F.col("v").alias("c"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    near = dot("v", "c") / F.sqrt(dot("v", "v")) / F.sqrt(dot("c", "c"))
-    core = near >= math.cos(math.acos(least) / 2) + 1e-9
+    core = cosine("v", "c") >= math.cos(math.acos(least) / 2) + 1e-9
     members = cut(members.join(first, "root").select("root", "node", "copies", "least", "v", core.alias("core")))
     per = members.groupBy("root").agg(
         F.sum(F.when(F.col("core"), F.col("copies")).otherwise(0)).alias("core_copies"),

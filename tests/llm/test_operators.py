@@ -305,6 +305,30 @@ def test_embeddings_in_a_dense_region(spark):
     assert sum(got[i] == want[i] for i in linked) > 0.98 * len(linked)
 
 
+def test_rounding_leaves_bounds():
+    """Rounded vectors lie as near the true ones as they say, in any number of dimensions."""
+    rng = np.random.default_rng(6)
+    for dim in (1, 2, 16, 768):
+        x = rng.standard_normal((200, dim)) * np.where(rng.random((200, dim)) < 0.2, 1e-6, 1)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y, off = embedding.unrounded(embedding.rounded(x).slice(50, 100), dim)
+        assert (np.linalg.norm(x[50:150] - y, axis=1) <= off).all() and off.max() < 1e-3
+
+
+def test_embeddings_near_the_threshold(spark):
+    """Pairs that rounding leaves open are decided by the vectors themselves, on both sides of the threshold."""
+    rng, n = np.random.default_rng(5), 400
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, y = rng.standard_normal((2, n, 32))
+    x = unit(x)
+    y = unit(y - (x * y).sum(1, keepdims=True) * x)
+    c = (0.9 + rng.choice([-1, 1], n) * 10.0 ** -rng.integers(4, 10, n))[:, None]
+    both = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(2 * n), "embedding": list(both)}), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding.near_vectors(df).collect()}
+    assert all(got[i] == got[i + n] == int(c[i, 0] >= 0.9) for i in range(n))
+
+
 def test_embeddings_borders(spark):
     """What a pass finds does not depend on the number of partitions, however few rows they have."""
     rng = np.random.default_rng(4)
