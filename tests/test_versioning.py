@@ -344,3 +344,22 @@ def test_hot_keys_are_cut(spark):
     points = [(i, r.randrange(-500, 3000)) for i in range(200)]
     got = range_join(spark.createDataFrame(points, "p int, at int"), spark.createDataFrame(ranges, "r int, lo int, hi int"), point="at", low="lo", high="hi", bucket=4)
     assert sorted((x.p, x.r) for x in got.collect()) == sorted((p, i) for p, at in points for i, lo, hi in ranges if lo <= at < hi)
+
+
+def test_compaction_by_a_filtered_column(spark, tmp_path):
+    """A rewrite in the order of another column reads the same, by key too, and its files hold ranges of that column."""
+    e = Engine(spark, str(tmp_path / "db"))
+    t = e.create("t", spark.range(1).select("id", F.lit(1).cast("int").alias("g")).schema, "id")
+    x = e.begin()
+    t.insert(spark.range(400).select("id", F.when(F.col("id") != 7, F.col("id") * 37 % 40).cast("int").alias("g")), x)
+    e.commit(x)
+    x = e.begin()
+    t.delete("g = 5", x)
+    e.commit(x)
+    want = sorted(map(tuple, t.scan().collect()), key=str)
+    t.compact(files=4, by="g")
+    assert sorted(map(tuple, t.scan().collect()), key=str) == want
+    assert t.get(7)["g"] is None and t.get(8)["g"] == 296 % 40
+    files = spark.read.parquet(*t._files("base")).groupBy(F.input_file_name()).agg(F.min("g").alias("lo"), F.max("g").alias("hi")).collect()
+    ends = sorted((r.lo, r.hi) for r in files)
+    assert len(ends) > 1 and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
