@@ -9,18 +9,30 @@ from pyspark.sql import functions as F
 
 from lamina.plans.engine import _customers
 from lamina.plans.registry import query
+from lamina.sources.files import Store
+from lamina.sources.shared import shared_folder
 from lamina.streaming import feeds
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream holds now, as a table in the driver's memory: for queries and tests of small results."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream holds now, as a table that executors write to the shared folder; none of it passes through the driver.
+
+    A batch that is tried again replaces what it wrote. In mode ``complete`` each batch is the whole result and replaces the last.
+    """
+    spark = stream.sparkSession
+    store = Store(spark, f"{shared_folder(spark)}/drained-{uuid.uuid4().hex}")
+    store.fs.mkdirs(store.path("rows"))  # a stream may hold nothing
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{store.root}/rows/{0 if mode == 'complete' else batch}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{store.root}/checkpoint").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    store.remove("checkpoint")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{store.root}/rows")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

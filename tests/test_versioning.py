@@ -10,6 +10,7 @@ from lamina.operators import changes as C
 from lamina.operators import timetravel as TT
 from lamina.operators.engine import Engine
 from lamina.plans.streams import drain
+from lamina.sources.shared import shared_folder
 from lamina.streaming import feeds
 
 #: snapshot, created, deleted, active, commits, visible
@@ -258,6 +259,19 @@ def test_open_changes_are_not_streamed(spark, engine):
     assert [(r.pk, r.after_v) for r in got.collect()] == [("2", "5.0")] and t.changes().where("op = 'update'").count() == 1
 
 
+def test_drained_rows_lie_in_the_shared_folder(spark, engine, sf):
+    """Rows of a stream, or of a whole result that batches replace, are not collected by the driver."""
+    cells = feeds.change_stream(engine.table("t"))
+    for stream, mode in ((cells, "append"), (feeds.tumbling(feeds.events(spark, sf), "1 day"), "complete"), (cells.groupBy("op").count(), "complete")):
+        got = drain(stream, mode)
+        files = got.inputFiles()
+        assert files and all(shared_folder(spark).split(":")[-1] in f for f in files) and got.count() > 0 and got.columns == stream.columns
+    empty = drain(feeds.change_stream(engine.table("t"), 10**6))
+    assert empty.count() == 0 and empty.columns == cells.columns
+    engine.create("u", engine.table("t").schema, "id")
+    assert drain(feeds.change_stream(engine.table("u"))).count() == 0  # nothing was ever committed
+
+
 def test_a_crash_leaves_no_changes_behind(spark, engine):
     t = engine.table("t")
     x = engine.begin()
