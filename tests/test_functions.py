@@ -94,3 +94,16 @@ def test_iceberg_metadata(spark, tmp_path):
     export(df, str(tmp_path / "p"), partition_by=("id",))
     with pytest.raises(ValueError, match="unpartitioned"):
         iceberg.publish(spark, str(tmp_path / "p"))
+
+
+def test_approx_aggregates_keep_no_sketch_for_each_key(spark, tmp_path):
+    """A distinct count beside sketches makes one of each for every key; small groups and nulls are as the SQL has them."""
+    from lamina.plans.relational import approx_aggregates
+
+    rows = [("A", i % 50, float(i)) for i in range(1000)] + [("two", 1, 1.0), ("two", 2, 2.0), (None, 7, 3.0), (None, None, 3.0), ("none", 5, None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_partkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = approx_aggregates(spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(f"Row(l_returnflag={f!r}, parts_near=True, median_near=True)" for f in ("A", "two", None, "none"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    by_key = [x for x in plan.splitlines() if "Aggregate(" in x and "l_partkey" in x.split("functions=")[0]]
+    assert by_key and not any(sketch in x for x in by_key for sketch in ("percentile", "approx_count_distinct"))
