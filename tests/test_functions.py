@@ -107,3 +107,23 @@ def test_approx_aggregates_keep_no_sketch_for_each_key(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     by_key = [x for x in plan.splitlines() if "Aggregate(" in x and "l_partkey" in x.split("functions=")[0]]
     assert by_key and not any(sketch in x for x in by_key for sketch in ("percentile", "approx_count_distinct"))
+
+
+def test_range_join_deals_out_a_hot_bucket(spark, monkeypatch, request):
+    """Pairs of one bucket, and of one key, are made by many tasks, none of which makes most of them; none is lost or made twice."""
+    from lamina.operators import joins
+
+    monkeypatch.setattr(joins, "TILE", {"points": 16, "ranges": 16}, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as at size
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold))
+    monkeypatch.setattr(joins, "TASK_PAIRS", 1000, raising=False)
+    p = spark.range(200).selectExpr("id as p_id", "10L as p", "id % 1 as k")
+    r = spark.range(150).selectExpr("id as r_id", "8L as lo", "id % 8 + 9 as hi", "id % 1 as rk")
+    for by in ([], [("k", "rk")]):
+        met = range_join(p, r, point="p", low="lo", high="hi", bucket=8, by=by)
+        assert met.columns == [*p.columns, *r.columns]
+        made = {x.t: x["count"] for x in met.groupBy(F.spark_partition_id().alias("t")).count().collect()}
+        want = 200 * sum(8 <= 10 < i % 8 + 9 for i in range(150))
+        assert sum(made.values()) == want == met.select("p_id", "r_id").distinct().count()
+        assert len(made) >= 8 and max(made.values()) < want / 2, made
